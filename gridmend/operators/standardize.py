@@ -191,8 +191,14 @@ def standardize_values(cells: DataFrame) -> DataFrame:
 
 
 def changes_of(cells: DataFrame, stage: str) -> DataFrame:
-    return (cells.filter(~F.col("before").eqNullSafe(F.col("value")))
-            .select("job_id", "row_idx", "field", F.lit(stage).alias("stage"), "before", F.col("value").alias("after")))
+    """Change rows out of cells that carry ``before``.
+
+    Written as a generator: a filter on ``value`` would be pushed below the standardiser and repeat its whole
+    expression inside the condition.
+    """
+    row = F.struct(F.lit(stage).alias("stage"), F.col("before"), F.col("value").alias("after"))
+    changed = F.filter(F.array(row), lambda x: ~x["before"].eqNullSafe(x["after"]))
+    return cells.select("job_id", "row_idx", "field", F.inline(changed))
 
 
 def choice_kind(field: Column) -> Column:
