@@ -516,7 +516,7 @@ def assign_words_to_cells(spark, sf):
     return layout.assign_words_to_cells(words, _layout_cells(spark, sf), scale).drop("engine")
 
 
-GAP_BOX = """SELECT job_id, line_no AS page, part_key * 16 + c AS cell_id, c * 1e2 + supp_key % 17 AS x0, (part_key % 40) * 4e1 + supp_key % 5 AS y0, c * 1e2 + 80 + supp_key % 40 AS x1, (part_key % 40) * 4e1 + 36 + part_key % 9 AS y1
+GAP_BOX = """SELECT job_id, line_no AS page, row_idx * 4 + c AS cell_id, c * 1e2 + supp_key % 17 AS x0, (part_key % 40) * 4e1 + supp_key % 5 AS y0, c * 1e2 + 80 + supp_key % 40 AS x1, (part_key % 40) * 4e1 + 36 + part_key % 9 AS y1
  FROM form_rows, {r}"""
 
 
@@ -533,7 +533,7 @@ def neighbour_gaps(spark, sf):
     r = table(spark, sf, "form_rows").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(3))))
     x0, y0 = F.col("c") * 100.0 + F.col("supp_key") % 17, (F.col("part_key") % 40) * 40.0 + F.col("supp_key") % 5
     x1, y1 = F.col("c") * 100.0 + 80 + F.col("supp_key") % 40, (F.col("part_key") % 40) * 40.0 + 36 + F.col("part_key") % 9
-    b = r.select("job_id", F.col("line_no").cast("long").alias("page"), (F.col("part_key") * 16 + F.col("c")).alias("cell_id"), F.array(x0, y0, x1, y0, x1, y1, x0, y1).alias("polygon"),
+    b = r.select("job_id", F.col("line_no").cast("long").alias("page"), (F.col("row_idx") * 4 + F.col("c")).alias("cell_id"), F.array(x0, y0, x1, y0, x1, y1, x0, y1).alias("polygon"),
                  F.lit(20.0).alias("page_w_in"), F.lit(20.0).alias("page_h_in"), F.lit(100).alias("dpi"), F.lit(0.01).alias("unit_scale"))
     out = layout.neighbour_gaps(b)
     return out.select("job_id", "page", "cell_id", *[F.col(c).cast("long").alias(c) for c in ("left", "top", "right", "bottom")])
