@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from gridmend.functions import constants as K
 from gridmend.functions import text as T
@@ -222,7 +223,8 @@ def resolve_by_position_dictionary(voted: DataFrame, names: DataFrame, key: list
     ``names``: name, kind (given, male, family). Position 0 uses given names at 0.78, the last the family names at
     0.85 (overriding even a settled vote), the rest the male names at 0.80. Distinct tokens meet the dictionary.
     """
-    v = voted.filter("votes is not null and size(votes) > 0").select(*key, F.array_max(F.transform("votes", lambda x: x["pos"])).alias("last"), F.explode("votes").alias("v"))
+    # no filter on the votes: it would be pushed below the vote and repeat it; the explode drops empty ones
+    v = voted.select(*key, F.array_max(F.transform("votes", lambda x: x["pos"])).alias("last"), F.explode("votes").alias("v"))
     kind = F.when(F.col("v.pos") == F.col("last"), "family").when(F.col("v.pos") == 0, "given").otherwise("male")
     v = v.withColumn("kind", kind)
     asked = v.filter((F.col("kind") == "family") | ~F.col("v.stable")).select(*key, "v.pos", "kind", F.posexplode("v.options").alias("opt", "tok"))
@@ -292,7 +294,7 @@ def token_distance(a: str, b: str) -> float:
     return weighted_distance(a, b) / max(len(a), len(b), 1)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def weighted_edit(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit distance of two folded texts where look-alike letters cost less."""
     return pd.Series([weighted_distance(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
@@ -336,7 +338,7 @@ def merge_tokens(a, b, fa, fb, near_a, near_b) -> str:
     return " ".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def align_merge(a: pd.Series, b: pd.Series, fa: pd.Series, fb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
     def near(items):
         return [(x["given"], x["family"]) for x in items]

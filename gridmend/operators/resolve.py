@@ -177,7 +177,7 @@ def leader_cluster(values: DataFrame, threshold: float = 0.82, every: int = 4) -
     rounds every undecided value with no undecided or leading earlier neighbour becomes a leader and its later
     neighbours follow. Rounds touch edges only, and lineage is cut by reliable checkpoints.
     """
-    base = ordinal(values.select("value", "n"), [], [F.desc("n"), "value"], [-F.col("n")], "ord").withColumn("f", T.fold("value", "place"))
+    base = ordinal(values.select("value", "n"), [], [F.desc("n"), "value"], [-F.col("n"), F.substring("value", 1, 3)], "ord").withColumn("f", T.fold("value", "place"))
     base = checkpoint(base)
     folds = base.select("f").distinct()
     close = ratcliff_join(folds, folds.select(F.col("f").alias("g")), "f", "g", threshold)
