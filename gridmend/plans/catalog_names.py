@@ -13,7 +13,7 @@ from gridmend.operators import standardize as S
 from gridmend.operators.audit import audit_cells
 from gridmend.plans.catalog_cells import AUDIT_CTE, AUDITED, csv, dig, only
 from gridmend.plans.registry import query
-from gridmend.plans.standins import ar, cells, duck_cells, oracle, table
+from gridmend.plans.standins import LATIN, SCRIPT, ar, cells, duck_cells, oracle, table
 from gridmend.sources import documents as D
 
 NORM = "trim(translate({}, 'أإآٱ', 'اااا'))"
@@ -21,6 +21,15 @@ FULL = "trim(translate({}, 'أإآٱىئة', 'ااااييه'))"
 ARS = "(length(regexp_replace(replace({0}, ' ', ''), '[^؀-ۿ]', '', 'g')) / nullif(length(replace({0}, ' ', '')), 0))"
 
 
+def one_byte(e):
+    """The checking engine measures edits in bytes, so texts are mapped to one byte a letter first."""
+    return f"translate({e}, '{SCRIPT}éèêçñóíáúüößä', '{LATIN}0123456789ABC')"
+
+
+def lev(a, b):
+    return f"levenshtein({one_byte(a)}, {one_byte(b)})"
+
+
 def toks(e):
     return f"[t for t in string_split(regexp_replace(trim({e}), '\\s+', ' ', 'g'), ' ') if t <> '']"
 
@@ -251,13 +260,13 @@ def known_token_antijoin(spark, sf):
     return resolve.known_token_antijoin(_words_of(spark, sf, "conversations"), _lexicon(spark, sf))
 
 
-@query("near_match_join", oracle(FUZZY + """, nx AS (SELECT ak.token, lx.token AS e, levenshtein(ak.token, lx.token) / greatest(length(ak.token), length(lx.token)) AS d FROM ak JOIN lx ON abs(length(ak.token) - length(lx.token)) <= 0.2 * greatest(length(ak.token), length(lx.token)))
+@query("near_match_join", oracle(FUZZY + f""", nx AS (SELECT ak.token, lx.token AS e, {lev('ak.token', 'lx.token')} / greatest(length(ak.token), length(lx.token)) AS d FROM ak JOIN lx ON abs(length(ak.token) - length(lx.token)) <= 0.2 * greatest(length(ak.token), length(lx.token)))
 SELECT token, arg_min(e, (d, e)) AS nearest, round(min(d), 6) AS norm_distance FROM nx WHERE d <= 0.2 GROUP BY token"""))
 def near_match_join(spark, sf):
     return resolve.near_match_join(_words_of(spark, sf, "conversations"), _lexicon(spark, sf)).withColumn("norm_distance", F.round("norm_distance", 6))
 
 
-PAIRS = """, pr AS (SELECT ak.token, lx.token AS name, levenshtein(ak.token, lx.token) / greatest(length(ak.token), length(lx.token)) AS d, length(ak.token) AS n FROM ak JOIN lx ON abs(length(ak.token) - length(lx.token)) <= 3 AND ak.token <> lx.token)"""
+PAIRS = f""", pr AS (SELECT ak.token, lx.token AS name, {lev('ak.token', 'lx.token')} / greatest(length(ak.token), length(lx.token)) AS d, length(ak.token) AS n FROM ak JOIN lx ON abs(length(ak.token) - length(lx.token)) <= 3 AND ak.token <> lx.token)"""
 
 
 @query("top_candidates", oracle(FUZZY + PAIRS + """, pm AS (SELECT * FROM (SELECT token, name, round_even(1 - d, 2) AS confidence, row_number() OVER (PARTITION BY token ORDER BY d, name) AS rn FROM pr
@@ -378,7 +387,7 @@ LEARN = FUZZY + f""", src AS (SELECT job_id, label AS name FROM training UNION A
  kn AS (SELECT DISTINCT {NORM.format('token')} AS norm FROM lx),
  g1 AS (SELECT token, norm, CASE WHEN NOT length(token) BETWEEN 2 AND 20 THEN 'length' WHEN length(regexp_replace(token, '[^؀-ۿ]', '', 'g')) / length(token) < 0.7 THEN 'not_arabic' WHEN regexp_matches(token, '[یکہے]') THEN 'persian'
    WHEN norm IN ({csv([w.translate(str.maketrans(K.ALEF_FROM, K.ALEF_TO)) for w in K.LEARN_NON_NAME])}) THEN 'non_name' WHEN norm IN (SELECT norm FROM kn) THEN 'known' END AS gate FROM di),
- nr AS (SELECT DISTINCT g1.norm FROM g1 JOIN kn ON gate IS NULL AND levenshtein(g1.norm, kn.norm) <= 0.2 * greatest(length(g1.norm), length(kn.norm))),
+ nr AS (SELECT DISTINCT g1.norm FROM g1 JOIN kn ON gate IS NULL AND {lev('g1.norm', 'kn.norm')} <= 0.2 * greatest(length(g1.norm), length(kn.norm))),
  gt AS (SELECT oc.*, g1.norm, CASE WHEN gate IS NOT NULL THEN gate WHEN g1.norm IN (SELECT norm FROM nr) THEN 'near' END AS gate FROM oc JOIN g1 USING (token))"""
 
 
@@ -474,7 +483,7 @@ def repair_stats(spark, sf):
 EV = "trim(translate({}, 'أإآٱىة', 'اااايه'))"
 EVAL = f""", ab AS (SELECT job_id || '-' || row_idx AS id, azure AS a, gemini AS b, clean_name AS truth FROM readings WHERE azure <> '' AND gemini <> ''),
  vf AS (SELECT DISTINCT {EV.format('token')} AS w FROM vocab),
- un AS (SELECT t, len([x for x in string_split({EV.format('t')}, ' ') if NOT list_contains((SELECT list(w) FROM vf), x)]) AS u FROM (SELECT DISTINCT a AS t FROM ab UNION SELECT DISTINCT b FROM ab)),
+ un AS (SELECT t, len([x for x in string_split({EV.format('t')}, ' ') if NOT list_contains(l, x)]) AS u FROM (SELECT DISTINCT a AS t FROM ab UNION SELECT DISTINCT b FROM ab), (SELECT list(w) AS l FROM vf)),
  pk AS (SELECT id, a, b, truth, CASE WHEN y.u < x.u THEN b ELSE a END AS pick, a = b AS agree, least(x.u, y.u) AS unknown FROM ab JOIN un x ON x.t = a JOIN un y ON y.t = b)"""
 
 
@@ -489,7 +498,7 @@ def pick_by_lexicon(spark, sf):
 
 
 @query("evaluate_readings", oracle(EVAL + f""", sc AS (SELECT *, {EV.format('truth')} AS t, {EV.format('pick')} AS p FROM pk),
- s AS (SELECT *, t = p AS hit, len(string_split(t, ' ')) AS words, len([z for z in list_zip(string_split(t, ' '), string_split(p, ' ')) if z[1] = z[2]]) AS ok, levenshtein(t, p) AS ed FROM sc)
+ s AS (SELECT *, t = p AS hit, len(string_split(t, ' ')) AS words, len([z for z in list_zip(string_split(t, ' '), string_split(p, ' ')) if z[1] = z[2]]) AS ok, {lev('t', 'p')} AS ed FROM sc)
 SELECT count(*) AS n, count(*) FILTER (hit) AS exact, count(*) FILTER (agree) AS agreed, cast(sum(words) as bigint) AS words, cast(sum(ok) as bigint) AS words_ok, count(*) FILTER (words - ok <= 1) AS one_word_off,
  round(count(*) FILTER (agree AND hit) / count(*) FILTER (agree), 6) AS agree_right, round(count(*) FILTER (NOT agree AND hit) / count(*) FILTER (NOT agree), 6) AS differ_right, round(sum(ed) / sum(length(t)), 6) AS cer,
  round(avg(unknown) FILTER (hit), 6) AS unknown_right, round(avg(unknown) FILTER (NOT hit), 6) AS unknown_wrong FROM s""", "readings", "vocab"))
