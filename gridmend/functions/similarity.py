@@ -34,7 +34,8 @@ def _block_keys(c: Column, threshold: float) -> Column:
 
     A ratio of t needs at least ceil(t(la+lb)/2) common characters. With the characters of every text in one global
     order, texts sharing that many must share two among their first la - need + 2 characters, where need is taken at
-    the shortest partner allowed. The keys are those pairs; a text of one character can only match itself.
+    the shortest partner allowed. The keys are those pairs. Texts so short that one common character is enough have
+    their single characters as further keys.
     """
     toks = char_tokens(c)
     # later occurrences are rarer than first ones, the rest of the order is an arbitrary but fixed hash
@@ -45,7 +46,7 @@ def _block_keys(c: Column, threshold: float) -> Column:
     prefix = F.slice(ranked, 1, F.greatest(F.least(n, n - need + 2), F.lit(1)).cast("int"))
     size = F.size(prefix)
     pairs = F.flatten(F.transform(prefix, lambda x, i: F.transform(F.slice(prefix, i + 2, size), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
-    return F.when(n >= 2, F.array_distinct(pairs)).otherwise(F.array(F.xxhash64(c)))
+    return F.when(need <= 1, F.array_union(pairs, ranked)).otherwise(F.array_distinct(pairs))
 
 
 def ratcliff_join(left: DataFrame, right: DataFrame, lcol: str, rcol: str, threshold: float, right_first: bool = False) -> DataFrame:

@@ -27,7 +27,7 @@ def _requests(spark, sf):
 
 
 @query("rate_limit", oracle("""
-, r AS (SELECT 'u' || (user_id % 12) AS key, lpad(cast(event_id as varchar), 12, '0') AS ev_id, epoch_ms(ts) AS ms, ts FROM events),
+, r AS (SELECT 'u' || (user_id % 12) AS key, lpad(cast(event_id as varchar), 12, '0') AS ev_id, epoch_us(ts) // 1000 AS ms, ts FROM events),
  o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, ts, ev_id) AS n FROM r),
  f AS (SELECT key, ev_id, n, ms + 3600000 AS reset, cast(1 as bigint) AS c, true AS ok FROM o WHERE n = 1
   UNION ALL SELECT o.key, o.ev_id, o.n, CASE WHEN o.ms > f.reset THEN o.ms + 3600000 ELSE f.reset END, CASE WHEN o.ms > f.reset THEN 1 WHEN f.c >= 3 THEN f.c ELSE f.c + 1 END, o.ms > f.reset OR f.c < 3

@@ -23,7 +23,7 @@ ARS = "(length(regexp_replace(replace({0}, ' ', ''), '[^؀-ۿ]', '', 'g')) / nul
 
 def one_byte(e):
     """The checking engine measures edits in bytes, so texts are mapped to one byte a letter first."""
-    return f"translate({e}, '{SCRIPT}éèêçñóíáúüößä', '{LATIN}0123456789ABC')"
+    return f"translate({e}, '{SCRIPT}éèêçñóíáúüößäذشثصضطظآإٱ', '{LATIN}0123456789ABCDEFGHIJKLM')"
 
 
 def lev(a, b):

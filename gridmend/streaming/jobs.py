@@ -77,7 +77,7 @@ class _Watchdog(StatefulProcessor):
                 elif not self.opened.exists():
                     self.opened.update((at,))
                     self.handle.registerTimer(at + self.limit_ms)
-        yield pd.DataFrame({"job_id": [], "status": [], "error_message": []})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.opened.clear()
