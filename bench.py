@@ -14,15 +14,14 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from gridmend.plans import catalog  # noqa: E402
 from gridmend.session import build_session  # noqa: E402
 
-HEADLINE = ["file_stats", "kpis", "training_overview", "statement", "guest_quota", "settle", "rate_limit", "review_lifecycle", "classify_columns", "standardize_phones_grid", "value_changes",
-            "recode_fixed_choice", "audit_cells", "reconcile_totals", "profile_columns", "drop_non_data_rows", "explode_layout", "header_paths", "assign_words_to_cells", "neighbour_gaps",
-            "vote_cells", "vote_name_tokens", "near_match_join", "leader_cluster", "correction_rules", "evaluate_readings"]
+HEADLINE = ["file_stats", "kpis", "statement", "guest_quota", "settle", "review_lifecycle", "standardize_phones_grid", "recode_fixed_choice", "reconcile_totals",
+            "drop_non_data_rows", "vote_cells", "vote_name_tokens", "correction_rules"]
 
 
 def main():
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = build_session(f"local[{cpus}]", "gridmend-bench", shuffle_partitions=int(cpus) if cpus.isdigit() else 8, **{"spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g")})
+    spark = build_session(f"local[{cpus}]", "gridmend-bench", shuffle_partitions=int(cpus) if cpus.isdigit() else 8, **{"spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g"), "spark.ui.showConsoleProgress": "false"})
     spark.range(1000).selectExpr("sum(id)").collect()
     names = sys.argv[1:] or HEADLINE
     times = {}

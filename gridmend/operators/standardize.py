@@ -214,22 +214,27 @@ CHOICE_RULES = {"gender": (K.MALE, K.FEMALE), "approval": (K.AGREE, K.DISAGREE),
 def recode_fixed_choice(cells: DataFrame) -> DataFrame:
     """Allowed answers only: kept, de-repeated, recognised after folding, or blanked. Lone marks stay.
 
-    Adds ``method``: kept, normalised, mark, blanked, or null outside fixed-choice columns.
+    Adds ``method``: kept, normalised, mark, blanked, or null outside fixed-choice columns. The patterns run once per
+    distinct answer of a column, of which there are few, and the outcome is joined back.
     """
-    kind, raw = choice_kind(F.col("field")), T.strip(F.col("value"))
-    dedup = F.array_join(F.array_distinct(T.tokens(raw)), " ")
-    folded = T.fold(raw, "choice")
-    value, method = F.col("value"), F.lit(None).cast("string")
+    filled = T.strip(F.col("value")) != ""
+    answers = cells.filter(choice_kind(F.col("field")).isNotNull() & filled).select("field", "value").distinct()
+    raw = F.col("raw")
+    d = answers.withColumn("raw", T.strip(F.col("value"))).withColumn("kind", choice_kind(F.col("field")))
+    d = d.withColumn("dedup", F.array_join(F.array_distinct(T.tokens(raw)), " ")).withColumn("folded", T.fold(raw, "choice"))
+    answer, how = F.lit(None).cast("string"), F.lit("blanked")
     for k, rules in CHOICE_RULES.items():
-        allowed = [answer for answer, _ in rules]
-        new = F.when(raw.isin(*allowed) | raw.rlike(K.LONE_MARK) & ~dedup.isin(*allowed), F.col("value")).when(dedup.isin(*allowed), dedup)
-        how = (F.when(raw.isin(*allowed), "kept").when(dedup.isin(*allowed), "normalised").when(raw.rlike(K.LONE_MARK), "mark"))
-        for answer, pattern in rules:
-            new, how = new.when(folded.rlike(pattern), answer), how.when(folded.rlike(pattern), "normalised")
-        here = (kind == k) & raw.isNotNull() & (raw != "")
-        value = F.when(here, new).otherwise(value)
-        method = F.when(here, how.otherwise("blanked")).otherwise(method)
-    return cells.withColumn("before", F.col("value")).withColumn("method", method).withColumn("value", value)
+        allowed = [a for a, _ in rules]
+        new = F.when(raw.isin(*allowed), F.col("value")).when(F.col("dedup").isin(*allowed), F.col("dedup")).when(raw.rlike(K.LONE_MARK), F.col("value"))
+        way = F.when(raw.isin(*allowed), "kept").when(F.col("dedup").isin(*allowed), "normalised").when(raw.rlike(K.LONE_MARK), "mark")
+        for a, pattern in rules:
+            hit = F.col("folded").rlike(pattern)
+            new, way = new.when(hit, a), way.when(hit, "normalised")
+        answer, how = F.when(F.col("kind") == k, new).otherwise(answer), F.when(F.col("kind") == k, way.otherwise("blanked")).otherwise(how)
+    judged = d.select("field", "value", answer.alias("answer"), how.alias("method"))
+    j = cells.join(judged, ["field", "value"], "left")
+    rest = [F.col(c) for c in cells.columns if c != "value"]
+    return j.select(*rest, F.col("value").alias("before"), F.when(F.col("method").isNull(), F.col("value")).otherwise(F.col("answer")).alias("value"), "method")
 
 
 def clean_selection_marks(v: Column) -> Column:
