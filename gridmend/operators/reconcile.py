@@ -15,6 +15,7 @@ from gridmend.functions import constants as K
 from gridmend.functions import text as T
 from gridmend.functions.distributed import first_n
 from gridmend.functions.similarity import ratcliff_join, ratcliff_ratio
+from gridmend.session import checkpoint
 
 
 def dict_score(texts: DataFrame, vocab: DataFrame, col: str = "text") -> DataFrame:
@@ -226,7 +227,8 @@ def resolve_by_position_dictionary(voted: DataFrame, names: DataFrame, key: list
     # no filter on the votes: it would be pushed below the vote and repeat it; the explode drops empty ones
     v = voted.select(*key, F.array_max(F.transform("votes", lambda x: x["pos"])).alias("last"), F.explode("votes").alias("v"))
     kind = F.when(F.col("v.pos") == F.col("last"), "family").when(F.col("v.pos") == 0, "given").otherwise("male")
-    v = v.withColumn("kind", kind)
+    # read by the lookup and by the assembly: the vote is taken once
+    v = checkpoint(v.withColumn("kind", kind))
     asked = v.filter((F.col("kind") == "family") | ~F.col("v.stable")).select(*key, "v.pos", "kind", F.posexplode("v.options").alias("opt", "tok"))
     asked = asked.withColumn("f", T.fold("tok", "full"))
     folded = names.select("kind", T.fold("name", "full").alias("cand")).distinct()

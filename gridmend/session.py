@@ -37,6 +37,9 @@ def build_session(master: str = "local[*]", app: str = "gridmend", shuffle_parti
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every operator relies on to a session someone else built."""
     for key, value in RUNTIME_CONF.items():
+        if key.endswith("excludedRules"):
+            have = [r for r in (spark.conf.get(key, "") or "").split(",") if r]
+            value = ",".join(dict.fromkeys([*have, value]))
         spark.conf.set(key, value)
     return spark
 
