@@ -122,7 +122,8 @@ def correct_places(values: DataFrame, places: DataFrame, variants: DataFrame, co
     # one spelling per fold: the first place in list order, the last variant recorded for a fold
     canon = places.withColumn("f", T.fold("canonical", "place")).groupBy("f").agg(F.min_by("canonical", "ord").alias("by_canon"))
     var = variants.groupBy(F.col("variant_folded").alias("f")).agg(F.max_by("canonical", "ord").alias("by_variant"))
-    looked = d.join(canon, "f", "left").join(var, "f", "left")
+    # the distinct texts feed four branches; they are read from the cells once
+    looked = checkpoint(d.join(canon, "f", "left").join(var, "f", "left"))
     exact = looked.filter("by_canon is not null or by_variant is not null").select(
         "value", F.coalesce("by_canon", "by_variant").alias("after"), F.when(F.col("by_canon").isNotNull(), "canonical").otherwise("variant").alias("method"))
     rest = looked.filter("by_canon is null and by_variant is null").select("value", "f")
