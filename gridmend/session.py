@@ -44,11 +44,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a scratch folder only where none is named."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the checkpoint folder already set.
+
+    Only a local session, whose executors live in this process, gets a scratch folder where none is named.
+    """
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("name a folder shared by driver and executors in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(named)
+    return named
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder the cluster names."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
