@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmend.llm import decontaminate, line_dedup, minhash, mixing, quality_rules, tokens
+from gridmend.llm import decontaminate, line_dedup, minhash, mixing, quality_rules, secret_scan, tokens
 from gridmend.session import prepare
 
 
@@ -31,6 +31,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(read(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -39,5 +43,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_minhash_dedup, op5_token_counts, op9_decontaminate, op10_quality_rules)}
-ORACLES = {"op1_mix_sources": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_minhash_dedup, op5_token_counts, op7_secret_scan, op9_decontaminate, op10_quality_rules)}
+ORACLES = {"op1_mix_sources": mixing.ORACLE, "op7_secret_scan": secret_scan.ORACLE}
