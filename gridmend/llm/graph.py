@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmend.llm.common import saved
@@ -34,26 +34,28 @@ def components(edges: DataFrame) -> DataFrame:
     return saved(e.select(F.col("u").alias("id"), F.col("v").alias("root")).union(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()))
 
 
-def grouped(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, root) of all ids that have a verified link, from rows (bucket, id) that name candidates.
+def grouped(members: DataFrame, verify: Callable[[DataFrame], DataFrame], close: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(id, root) of all ids that have a verified link, from rows (bucket, id, sig) that name candidates.
 
     First each bucket's members are verified against its smallest id only, which ties a group of near copies together
     with one link per member. Where a bucket's members then still belong to different components, the pairs across
     components, and only those, are verified too, so no link that could join two components is left untested.
-    ``verify`` takes (a, b) and returns those that hold.
+    ``close`` compares two signatures cheaply before anything else is fetched; ``verify`` takes (a, b) and returns those
+    that hold.
     """
-    counted = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("rep")).where("c > 1").select(F.col("bucket").alias("k"), "rep")
-    live = saved(members.join(counted, F.col("bucket") == F.col("k"), "inner").select("bucket", "id", "rep"))
-    star = saved(live.where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct())
+    near = close or (lambda a, b: F.lit(True))
+    least = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "sig")).alias("rep")).where("c > 1").select(F.col("bucket").alias("k"), "rep")
+    live = saved(members.join(least, F.col("bucket") == F.col("k"), "inner").select("bucket", "id", "sig", "rep"))
+    star = saved(live.where((F.col("id") != F.col("rep.id")) & near(F.col("rep.sig"), F.col("sig"))).select(F.col("rep.id").alias("a"), F.col("id").alias("b")).distinct())
     held = saved(verify(star))
     comp = components(held)
     c = comp.select(F.col("id").alias("k"), "root")
-    labelled = live.join(c, F.col("id") == F.col("k"), "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    labelled = live.drop("rep").join(c, F.col("id") == F.col("k"), "left").select("bucket", "id", "sig", F.coalesce("root", "id").alias("root"))
     mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select(F.col("bucket").alias("k"))
     open_ = saved(labelled.join(mixed, F.col("bucket") == F.col("k"), "left_semi"))
-    other = open_.toDF("bucket2", "id2", "root2")
-    across = open_.join(other, (F.col("bucket") == F.col("bucket2")) & (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")), "inner")
-    rest = saved(across.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
+    other = open_.toDF("bucket2", "id2", "sig2", "root2")
+    apart = (F.col("bucket") == F.col("bucket2")) & (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & near(F.col("sig"), F.col("sig2"))
+    rest = saved(open_.join(other, apart, "inner").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return comp
     more = saved(verify(rest))

@@ -22,6 +22,8 @@ from gridmend.llm.common import row_key, saved, text_of
 from gridmend.llm.graph import grouped
 
 SIMILARITY, MIN_WORDS, BLOCKS = 0.9, 5, 4
+#: Candidates further apart than this are not read again. One word of ten changed turns 18 of 128 bits on average.
+FAR = 32
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\x0b\x0c\r"
 FOLD = bytes.maketrans(_PUNCT + b"0123456789", b" " * len(_PUNCT) + b"0" * 10)
 SECOND = 0xC2B2AE3D27D4EB4F
@@ -144,26 +146,32 @@ def _rebuilt(texts: pd.Series, kept: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
 
 
+def _close(a: Column, b: Column) -> Column:
+    """Hamming distance of two SimHashes within ``FAR`` bits."""
+    return F.bit_count(a["s0"].bitwiseXOR(b["s0"])) + F.bit_count(a["s1"].bitwiseXOR(b["s1"])) <= FAR
+
+
 def kept_lines(docs: DataFrame) -> DataFrame:
     """(__id, __th, n): the one occurrence of each group of lines that stays."""
     groups = saved(occurrences(docs).groupBy("h").agg(F.min(F.struct("__id", "__th", "n")).alias("first"), F.min("s0").alias("s0"), F.min("s1").alias("s1"), F.min("words").alias("words")))
     block = F.explode(F.array(*[F.shiftright(F.col(f"s{j // 2}"), 32 * (j % 2)).bitwiseAND(0xFFFFFFFF).bitwiseOR(F.lit(j << 32)) for j in range(BLOCKS)]))
-    blocks = groups.where(F.col("words") >= MIN_WORDS).select(block.alias("block"), "h", "words")
+    blocks = groups.where(F.col("words") >= MIN_WORDS).select(block.alias("block"), "h", "words", F.struct("s0", "s1").alias("sig"))
     shared = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("block").alias("k"))
-    live = blocks.join(shared, F.col("block") == F.col("k"), "left_semi").select("block", "h", F.explode(_size_classes(F.col("words"))).alias("z"))
-    members = saved(live.select(F.struct("block", "z").alias("bucket"), F.col("h").alias("id")))
-    wanted = members.select("id").distinct()
-    sites = groups.join(wanted, groups["h"] == wanted["id"], "left_semi").select("h", "first.*")
-    keyed = docs.select("doc_id", text_of().alias("t")).select(*row_key(F.col("doc_id"), F.col("t")), "t").dropDuplicates(["__id", "__th"])
-    sites = sites.select("h", F.col("__id").alias("i"), F.col("__th").alias("x"), "n")
-    texts = saved(sites.join(keyed, F.col("i").eqNullSafe(F.col("__id")) & (F.col("x") == F.col("__th")), "inner").select("h", F.get(F.split("t", "\n"), F.col("n")).alias("line")))
+    live = blocks.join(shared, F.col("block") == F.col("k"), "left_semi").select("block", "h", "sig", F.explode(_size_classes(F.col("words"))).alias("z"))
+    members = live.select(F.struct("block", "z").alias("bucket"), F.col("h").alias("id"), "sig")
+    keyed = docs.select("doc_id", text_of().alias("t")).select(*row_key(F.col("doc_id"), F.col("t")), "t")
 
     def verify(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        sites = groups.join(wanted, groups["h"] == wanted["id"], "left_semi").select("h", F.col("first.__id").alias("i"), F.col("first.__th").alias("x"), F.col("first.n").alias("n"))
+        found = sites.join(keyed, F.col("i").eqNullSafe(F.col("__id")) & (F.col("x") == F.col("__th")), "inner")
+        # rows alike in id and text hold the same line
+        texts = saved(found.select("h", F.get(F.split("t", "\n"), F.col("n")).alias("line")).dropDuplicates(["h"]))
         a, b = texts.toDF("ha", "la"), texts.toDF("hb", "lb")
         both = pairs.join(a, F.col("a") == F.col("ha"), "inner").join(b, F.col("b") == F.col("hb"), "inner")
         return both.select("a", "b", "la", "lb").mapInArrow(_similar, "a binary, b binary")
 
-    near = grouped(members, verify)
+    near = grouped(members, verify, _close)
     firsts = near.join(groups.select("h", "first"), F.col("id") == F.col("h"), "inner").select("id", "root", "first")
     best = firsts.groupBy("root").agg(F.min_by("id", "first").alias("best")).select(F.col("best"), F.col("root").alias("r"))
     gone = saved(firsts.join(best, F.col("root") == F.col("r"), "inner").where("id != best").select(F.col("id").alias("g")))

@@ -145,7 +145,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     bands = real.select("key", "weight", F.explode("bands").alias("band")).distinct()
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("band").alias("k"))
     live = bands.join(shared, F.col("band") == F.col("k"), "left_semi").select("key", "band", F.explode(F.array(size, size + 1)).alias("z"))
-    members = saved(live.select(F.struct("band", "z").alias("bucket"), F.col("key").alias("id")))
+    members = saved(live.select(F.struct("band", "z").alias("bucket"), F.col("key").alias("id"), F.lit(0).alias("sig")))
     heads = real.groupBy("key").agg(F.min("doc_id").alias("head"))
     ask = members.select("id").distinct()
     # one row of each text that has to be compared
