@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmend.llm import decontaminate, line_dedup, minhash, mixing, quality_rules, secret_scan, tokens
+from gridmend.llm import decontaminate, line_dedup, minhash, mixing, pii, quality_rules, secret_scan, tokens
 from gridmend.session import prepare
 
 
@@ -35,6 +35,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(read(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -43,5 +47,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_minhash_dedup, op5_token_counts, op7_secret_scan, op9_decontaminate, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_minhash_dedup, op5_token_counts, op7_secret_scan, op8_pii, op9_decontaminate, op10_quality_rules)}
 ORACLES = {"op1_mix_sources": mixing.ORACLE, "op7_secret_scan": secret_scan.ORACLE}
