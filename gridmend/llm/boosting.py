@@ -43,11 +43,11 @@ def _read(node):
     return int(s.featureIndex()), float(s.threshold()), _read(node.leftChild()), _read(node.rightChild())
 
 
-def fit(rows: DataFrame, features: Sequence[str], trees: int = 12, depth: int = 3, precision: float = 0.9, held_out: str = "held_out") -> Trees:
+def fit(rows: DataFrame, features: Sequence[str], trees: int = 12, depth: int = 3, precision: float | None = 0.9, held_out: str = "held_out") -> Trees:
     """Fit on rows (features, label 0/1, held_out); choose the threshold on the held-out part.
 
     The threshold is the smallest hundredth from which the held-out rows at or above it are right with ``precision``.
-    The caller bounds the rows. With one class only there is no model.
+    ``precision`` None: one half. The caller bounds the rows. With one class only there is no model.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -65,10 +65,10 @@ def fit(rows: DataFrame, features: Sequence[str], trees: int = 12, depth: int =
     scored = rows.select(F.floor(fitted.probability({f: F.col(f) for f in features}) * 100).cast("int").alias("b"), "label", held_out)
     bins = sorted(scored.where(held_out).groupBy("b").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.b)  # 101 rows at most
     pos = n = 0
-    best = None
+    best = 0.5 if precision is None else None
     for r in bins:
         pos, n = pos + r.pos, n + r.n
-        if pos >= precision * n:
+        if precision is not None and pos >= precision * n:
             best = r.b / 100
     right = sum(r.pos if best is not None and r.b / 100 >= best else r.n - r.pos for r in bins)
     return Trees(features, fitted.weights, fitted.roots, best, {"held_out": n, "positive": pos, "right": right})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmend.llm import decontaminate, line_dedup, minhash, mixing, pii, quality_rules, secret_scan, tokens
+from gridmend.llm import decontaminate, line_dedup, minhash, mixing, pii, quality_classifier, quality_rules, secret_scan, tokens, url_filter
 from gridmend.session import prepare
 
 
@@ -25,12 +25,24 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(read(spark, sf_dir, "documents"))
 
 
+#: The rules of the URL query.
+URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return tokens.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(read(spark, sf_dir, "documents"))
 
@@ -47,5 +59,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_minhash_dedup, op5_token_counts, op7_secret_scan, op8_pii, op9_decontaminate, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_minhash_dedup, op4_url_filter, op5_token_counts, op6_quality_classifier, op7_secret_scan, op8_pii, op9_decontaminate, op10_quality_rules)}
 ORACLES = {"op1_mix_sources": mixing.ORACLE, "op7_secret_scan": secret_scan.ORACLE}
