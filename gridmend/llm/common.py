@@ -44,6 +44,11 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [doc_id.alias("__id"), F.xxhash64(text).alias("__th")]
 
 
-def same_row(left: DataFrame, right: DataFrame) -> Column:
-    """Null-safe equality of the row keys of two frames."""
-    return left["__id"].eqNullSafe(right["__id"]) & (left["__th"] == right["__th"])
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose row key (``__id``, ``__th``) is not among ``keys``.
+
+    The keys are written first, so that their true size decides between a broadcast and a shuffle.
+    """
+    gone = saved(keys.select(F.col("__id").alias("__gone_id"), F.col("__th").alias("__gone_th")).distinct())
+    mine = docs["doc_id"].eqNullSafe(gone["__gone_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["__gone_th"])
+    return docs.join(gone, mine, "left_anti")

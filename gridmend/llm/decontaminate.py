@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridmend.llm import hashing
-from gridmend.llm.common import row_key, same_row, saved, text_of
+from gridmend.llm.common import row_key, saved, text_of, without
 
 SEED, COVERAGE = 5, 0.6
 #: Size of the seed filter sent to every task, whatever the size of the benchmark: 2**24 bits, 2 MB.
@@ -139,6 +139,4 @@ def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, unchanged, that contain no benchmark item."""
-    bad = saved(_leaks(docs, benchmark).select("__id", "__th").distinct())
-    keyed = docs.withColumns({"__id": F.col("doc_id"), "__th": F.xxhash64(text_of())})
-    return keyed.join(bad, same_row(keyed, bad), "left_anti").select(*docs.columns)
+    return without(docs, _leaks(docs, benchmark))

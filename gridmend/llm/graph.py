@@ -34,29 +34,54 @@ def components(edges: DataFrame) -> DataFrame:
     return saved(e.select(F.col("u").alias("id"), F.col("v").alias("root")).union(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()))
 
 
-def grouped(members: DataFrame, verify: Callable[[DataFrame], DataFrame], close: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def _labelled(rows: DataFrame, comp: DataFrame, column: str, out: str) -> DataFrame:
+    """Add the component of an id; an id without links is a component of its own."""
+    c = comp.select(F.col("id").alias("__k"), F.col("root").alias("__r"))
+    return rows.join(c, F.col(column) == F.col("__k"), "left").withColumn(out, F.coalesce("__r", column)).drop("__k", "__r")
+
+
+def grouped(members: DataFrame, verify: Callable[[DataFrame], DataFrame], score: Callable[[Column, Column], Column], cut: int) -> DataFrame:
     """(id, root) of all ids that have a verified link, from rows (bucket, id, sig) that name candidates.
 
-    First each bucket's members are verified against its smallest id only, which ties a group of near copies together
-    with one link per member. Where a bucket's members then still belong to different components, the pairs across
-    components, and only those, are verified too, so no link that could join two components is left untested.
-    ``close`` compares two signatures cheaply before anything else is fetched; ``verify`` takes (a, b) and returns those
-    that hold.
+    ``score`` estimates from two signatures how alike their owners are; pairs under ``cut`` are no candidates. ``verify``
+    takes pairs (a, b) and returns those that hold. A group needs one link per member to be found, not all its pairs:
+
+    1. every id is verified against the most promising of its buckets' representatives (four per bucket), which ties
+       groups together in time linear in the members;
+    2. where a bucket still holds several components, every id is verified against its most promising partner in
+       another component;
+    3. pairs that then still lie across components are all verified.
+
+    So every candidate pair that could join two components is tested, and pairs inside a component are not made at all.
     """
-    near = close or (lambda a, b: F.lit(True))
-    least = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "sig")).alias("rep")).where("c > 1").select(F.col("bucket").alias("k"), "rep")
-    live = saved(members.join(least, F.col("bucket") == F.col("k"), "inner").select("bucket", "id", "sig", "rep"))
-    star = saved(live.where((F.col("id") != F.col("rep.id")) & near(F.col("rep.sig"), F.col("sig"))).select(F.col("rep.id").alias("a"), F.col("id").alias("b")).distinct())
-    held = saved(verify(star))
+    plain, salted = F.struct("id", "sig"), F.struct(F.xxhash64("id", F.lit(1)).alias("z"), F.col("id"), F.col("sig"))
+    ends = [F.min(plain).alias("r0"), F.max(plain).alias("r1"), F.min(salted).alias("r2"), F.max(salted).alias("r3")]
+    reps = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), *ends).where("c > 1")
+    live = saved(members.join(reps.withColumnRenamed("bucket", "k"), F.col("bucket") == F.col("k"), "inner").drop("k", "c"))
+    scored = live.select("id", *[F.col(f"r{i}.id").alias(f"i{i}") for i in range(4)], *[score(F.col(f"r{i}.sig"), F.col("sig")).alias(f"s{i}") for i in range(4)])
+    offers = F.array(*[F.when((F.col(f"i{i}") != F.col("id")) & (F.col(f"s{i}") >= cut), F.struct(F.col(f"s{i}").alias("s"), F.col(f"i{i}").alias("id"))) for i in range(4)])
+    best = scored.select("id", F.array_max(offers).alias("o")).where("o IS NOT NULL").groupBy("id").agg(F.max("o").alias("o"))
+    first = saved(best.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct())
+    held = saved(verify(first))
     comp = components(held)
-    c = comp.select(F.col("id").alias("k"), "root")
-    labelled = live.drop("rep").join(c, F.col("id") == F.col("k"), "left").select("bucket", "id", "sig", F.coalesce("root", "id").alias("root"))
+    labelled = _labelled(live.select("bucket", "id", "sig"), comp, "id", "root")
     mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select(F.col("bucket").alias("k"))
     open_ = saved(labelled.join(mixed, F.col("bucket") == F.col("k"), "left_semi"))
     other = open_.toDF("bucket2", "id2", "sig2", "root2")
-    apart = (F.col("bucket") == F.col("bucket2")) & (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & near(F.col("sig"), F.col("sig2"))
-    rest = saved(open_.join(other, apart, "inner").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
+    apart = (F.col("bucket") == F.col("bucket2")) & (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & (score(F.col("sig"), F.col("sig2")) >= cut)
+    across = open_.join(other, apart, "inner").select(F.col("id").alias("a"), F.col("id2").alias("b"), score(F.col("sig"), F.col("sig2")).alias("s")).distinct()
+    rest = saved(across.join(first, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return comp
-    more = saved(verify(rest))
-    return comp if more.isEmpty() else components(held.union(more))
+    sides = rest.select("a", F.struct("s", "b").alias("o")).union(rest.select("b", F.struct("s", "a")))
+    second = saved(sides.groupBy("a").agg(F.max("o").alias("o")).select(F.least("a", "o.b").alias("a"), F.greatest("a", "o.b").alias("b")).distinct())
+    more = saved(verify(second))
+    if not more.isEmpty():
+        held = held.union(more)
+        comp = components(held)
+    untested = _labelled(_labelled(rest.select("a", "b").join(second, ["a", "b"], "left_anti"), comp, "a", "ra"), comp, "b", "rb")
+    third = saved(untested.where("ra != rb").select("a", "b"))
+    if third.isEmpty():
+        return comp
+    last = saved(verify(third))
+    return comp if last.isEmpty() else components(held.union(last))

@@ -146,9 +146,9 @@ def _rebuilt(texts: pd.Series, kept: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
 
 
-def _close(a: Column, b: Column) -> Column:
-    """Hamming distance of two SimHashes within ``FAR`` bits."""
-    return F.bit_count(a["s0"].bitwiseXOR(b["s0"])) + F.bit_count(a["s1"].bitwiseXOR(b["s1"])) <= FAR
+def _agreeing(a: Column, b: Column) -> Column:
+    """Number of equal bits of two SimHashes."""
+    return F.lit(128) - F.bit_count(a["s0"].bitwiseXOR(b["s0"])) - F.bit_count(a["s1"].bitwiseXOR(b["s1"]))
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
         both = pairs.join(a, F.col("a") == F.col("ha"), "inner").join(b, F.col("b") == F.col("hb"), "inner")
         return both.select("a", "b", "la", "lb").mapInArrow(_similar, "a binary, b binary")
 
-    near = grouped(members, verify, _close)
+    near = grouped(members, verify, _agreeing, 128 - FAR)
     firsts = near.join(groups.select("h", "first"), F.col("id") == F.col("h"), "inner").select("id", "root", "first")
     best = firsts.groupBy("root").agg(F.min_by("id", "first").alias("best")).select(F.col("best"), F.col("root").alias("r"))
     gone = saved(firsts.join(best, F.col("root") == F.col("r"), "inner").where("id != best").select(F.col("id").alias("g")))
@@ -188,8 +188,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     kept = kept_lines(docs).groupBy("__id", "__th").agg(F.collect_list("n").alias("ns"))
     keep = kept.select(F.col("__id").alias("i"), F.col("__th").alias("x"), "ns")
-    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in names], *row_key(F.col("doc_id"), text_of()))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = row.select("row", *row_key(F.col("row.doc_id"), F.coalesce("row.text", F.lit(""))))
     joined = keyed.join(keep, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__th") == F.col("x")), "left")
-    done = joined.withColumn("done", _rebuilt(F.col("text"), F.col("ns")))
-    return done.select(*[F.col("done.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in names], "done.n_lines", "done.n_dropped")
+    done = joined.withColumn("done", _rebuilt(F.col("row.text"), F.col("ns")))
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    return done.select(*[F.col("done.text").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in names], "done.n_lines", "done.n_dropped")

@@ -13,21 +13,27 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmend.llm import hashing
-from gridmend.llm.common import row_key, same_row, saved, text_of
+from gridmend.llm.common import row_key, saved, text_of, without
 from gridmend.llm.graph import grouped
 
 SIMILARITY, SHINGLE = 0.8, 5
 #: 20 bands of 5 coordinates: a pair at similarity 0.8 shares a band with probability 0.9996.
 BANDS, ROWS = 20, 5
 K = BANDS * ROWS
+#: Bits of the sketches' 800 that have to agree before two texts are read again. At similarity 0.8, 720 do on average;
+#: this is three standard deviations (17 each) under it.
+AGREE = 668
 GOLD = np.uint64(hashing.BASE)
+#: A sketch holds the low byte of every coordinate, eight to a long.
+SKETCH = -(-K // 8)
 
 
 def weighted(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,12 +105,16 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in hashing.slices(texts, 1 << 20):
             words, bounds = hashing.word_hashes([t.lower() for t in texts[lo:hi]])
             owner, item, count = weighted(words, bounds)
-            bands = band_hashes(dart_signatures(owner, item, count, hi - lo)).astype(np.int64)
+            signature = dart_signatures(owner, item, count, hi - lo)
+            bands = band_hashes(signature).astype(np.int64)
             total = np.bincount(owner, count, hi - lo) if len(owner) else np.zeros(hi - lo)
+            lows = np.zeros((hi - lo, SKETCH * 8), np.uint8)
+            lows[:, :K] = signature.astype(np.uint8)
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * SKETCH, SKETCH, dtype=np.int32)), pa.array(lows.view(np.int64).ravel()))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
             part = b.slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("__id"), part.column("__th"), part.column("key"), pa.array(total.astype(np.int64)), flat],
-                                             ["doc_id", "__id", "__th", "key", "weight", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("__id"), part.column("__th"), part.column("key"), pa.array(total.astype(np.int64)), flat, sketch],
+                                             ["doc_id", "__id", "__th", "key", "weight", "bands", "sig"])
 
 
 def jaccard(a: str, b: str) -> float:
@@ -124,6 +134,11 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _agreeing(a: Column, b: Column) -> Column:
+    """Number of equal bits of two sketches."""
+    return F.lit(8 * K) - reduce(lambda x, y: x + y, [F.bit_count(F.get(a, F.lit(j)).bitwiseXOR(F.get(b, F.lit(j)))) for j in range(SKETCH)])
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its group), kept (one document of each group).
 
@@ -138,26 +153,25 @@ def classes(docs: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", text_of().alias("t")).select("doc_id", *row_key(F.col("doc_id"), F.col("t")), F.unhex(F.md5("t")).alias("key"), "t")
-    signed = saved(keyed.mapInArrow(_signed, f"doc_id {kind}, __id {kind}, __th bigint, key binary, weight bigint, bands array<bigint>"))
+    signed = saved(keyed.mapInArrow(_signed, f"doc_id {kind}, __id {kind}, __th bigint, key binary, weight bigint, bands array<bigint>, sig array<bigint>"))
     real = signed.where("weight > 0")
     # similar texts have similar weights: a bucket is a band's hash and one of two neighbouring weight classes
     size = F.floor(F.log("weight") / F.log(F.lit(1 / SIMILARITY)))
     bands = real.select("key", "weight", F.explode("bands").alias("band")).distinct()
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("band").alias("k"))
     live = bands.join(shared, F.col("band") == F.col("k"), "left_semi").select("key", "band", F.explode(F.array(size, size + 1)).alias("z"))
-    members = saved(live.select(F.struct("band", "z").alias("bucket"), F.col("key").alias("id"), F.lit(0).alias("sig")))
+    sigs = real.select(F.col("key").alias("k2"), "sig").dropDuplicates(["k2"])
+    members = live.join(sigs, F.col("key") == F.col("k2"), "inner").select(F.struct("band", "z").alias("bucket"), F.col("key").alias("id"), "sig")
     heads = real.groupBy("key").agg(F.min("doc_id").alias("head"))
-    ask = members.select("id").distinct()
-    # one row of each text that has to be compared
-    texts = keyed.join(ask, F.col("key") == F.col("id"), "left_semi").groupBy("key").agg(F.first("t").alias("t"))
-    texts = saved(texts)
 
     def verify(pairs: DataFrame) -> DataFrame:
+        ask = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        texts = saved(keyed.select("key", "t").join(ask, F.col("key") == F.col("id"), "left_semi").dropDuplicates(["key"]))
         a, b = texts.toDF("ka", "ta"), texts.toDF("kb", "tb")
         both = pairs.join(a, F.col("a") == F.col("ka"), "inner").join(b, F.col("b") == F.col("kb"), "inner")
         return both.select("a", "b", "ta", "tb").mapInArrow(_alike, "a binary, b binary")
 
-    near = grouped(members, verify)
+    near = grouped(members, verify, _agreeing, AGREE)
     group = heads.join(near.select("id", "root"), F.col("key") == F.col("id"), "left").select("key", "head", F.coalesce("root", "key").alias("root"))
     first = group.groupBy("root").agg(F.min("head").alias("class_id"), F.min_by("key", F.struct(F.col("head").isNull(), "head", "key")).alias("best")).select(F.col("root").alias("r"), "class_id", "best")
     named = group.join(first, F.col("root") == F.col("r"), "inner").select(F.col("key").alias("k"), "head", "class_id", (F.col("key") == F.col("best")).alias("best"))
@@ -168,6 +182,4 @@ def _classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, unchanged, without those that repeat a kept document of their group."""
-    gone = saved(_classes(docs).where("not kept").select("__id", "__th").distinct())
-    keyed = docs.withColumns({"__id": F.col("doc_id"), "__th": F.xxhash64(text_of())})
-    return keyed.join(gone, same_row(keyed, gone), "left_anti").select(*docs.columns)
+    return without(docs, _classes(docs).where("not kept"))

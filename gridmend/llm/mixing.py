@@ -105,12 +105,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3) -> D
 
 
 def sample(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """The mixed corpus: the documents taken at least once with all their columns, and ``copies`` and ``taken``."""
+    """The mixed corpus: the documents taken at least once with all their columns, and size, source_size, target, copies
+    and taken, which replace input columns of these names. Cases as for ``mix``."""
     narrow = saved(sized(docs))
     plan = thresholds(narrow, targets(narrow, weights, most))
-    clash = [c for c in docs.columns if c.lower() in ("size", "h", "source_size", "target", "copies", "taken", "full", "cut", "__s")]
-    frame = docs.drop(*clash).withColumns({"size": word_count(text_of()), "h": hash60(F.col("doc_id"))})
-    return taken(frame, plan).where("copies > 0")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", word_count(text_of()).alias("size"), hash60(F.col("doc_id")).alias("h"))
+    out = ("size", "source_size", "target", "copies", "taken")
+    return taken(row, plan).where("copies > 0").select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in out], *out)
 
 
 ORACLE = """

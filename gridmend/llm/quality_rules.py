@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridmend.llm.common import SPACES, row_key, same_row, saved, text_of, words_of
+from gridmend.llm.common import SPACES, row_key, saved, text_of, without, words_of
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -141,6 +141,4 @@ def _judged(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, unchanged, that ``judge`` keeps."""
-    bad = saved(_judged(docs).where("not kept").select("__id", "__th").distinct())
-    keyed = docs.withColumns({"__id": F.col("doc_id"), "__th": F.xxhash64(text_of())})
-    return keyed.join(bad, same_row(keyed, bad), "left_anti").select(*docs.columns)
+    return without(docs, _judged(docs).where("not kept"))
