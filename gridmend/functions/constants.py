@@ -74,7 +74,7 @@ NO = ("لا", "^(لا|كلا|no|n)$")
 LONE_MARK = "^[✓✔√×✕✖✗✘xX]$"
 
 # --- fixed values: word lists ---------------------------------------------------------------------------
-SUBHEADER_WORDS = ["من", "الي", "from", "to", "start", "end", "بدايه", "بداية", "نهاية", "ذهاب", "اياب"]
+SUBHEADER_WORDS = ["من", "الي", "from", "to", "start", "end", "بداية", "نهاية", "ذهاب", "اياب"]
 COMPOUND_PREFIXES = ["عبد", "أبو", "ابو", "أم", "ام", "بنت", "آل", "ال", "أبي", "ابي"]
 NAME_CONNECTORS = ["ابو", "ام", "بنت", "ابن", "بن"]
 NAME_PARTICLES = ["أبو", "ابو", "أبي", "ابي", "عبد", "بنت", "بن", "ابن", "آل", "أم", "ام", "الله", "الدين", "الحق",

@@ -164,8 +164,8 @@ def header_tokens(header: Column) -> Column:
     """Significant words of a header: folded, without article and conjunction, three letters or more."""
     t = F.lower(T.fold(header, "full"))
     words = F.filter(F.split(F.trim(t), "[\\s/\\-_|]+"), lambda w: w != "")
-    bare = F.transform(words, lambda w: F.when(w.startswith("ال") & (F.length(w) > 2), F.substring(w, 3, 100)).otherwise(w))
-    bare = F.transform(bare, lambda w: F.when(w.startswith("و") & (F.length(w) > 2), F.substring(w, 2, 100)).otherwise(w))
+    bare = F.transform(words, lambda w: F.when(w.startswith("ال") & (F.length(w) > 2), F.substr(w, F.lit(3))).otherwise(w))
+    bare = F.transform(bare, lambda w: F.when(w.startswith("و") & (F.length(w) > 2), F.substr(w, F.lit(2))).otherwise(w))
     return F.array_distinct(F.filter(bare, lambda w: (F.length(w) >= 3) & ~w.isin(*HEADER_STOP_WORDS)))
 
 
@@ -179,7 +179,7 @@ def column_merges(forms: DataFrame) -> DataFrame:
         h.alias("h"), header_tokens(h).alias("tok"), F.array(*[h.rlike(p) for p in SAME_COLUMN]).alias("roots"),
         h.rlike(K.GUARDIAN_HEADER).alias("guardian"), h.rlike(K.GRID_DATE).alias("date")))
 
-    @F.pandas_udf("array<struct<gone:string,kept:string>>")
+    @F.pandas_udf("array<struct<gone:string,kept:string,turn:int>>")
     def merge(batch: pd.Series) -> pd.Series:
         return batch.map(_merge_headers)
 
@@ -187,13 +187,17 @@ def column_merges(forms: DataFrame) -> DataFrame:
 
 
 def _merge_headers(facts) -> list[dict]:
+    """Every merged-away header with its last survivor and the turn in which its values fill that survivor's gaps.
+
+    A survivor may be merged away later; its own values then come before those it had taken over itself.
+    """
     cols = {f["h"]: f for f in facts}
-    alive, merged = [f["h"] for f in facts], []
+    alive, taken = [f["h"] for f in facts], {f["h"]: [] for f in facts}
 
     def absorb(kept, gone):
         for g in gone:
             alive.remove(g)
-            merged.append({"gone": g, "kept": kept})
+            taken[kept].append(g)
 
     for i in range(len(SAME_COLUMN)):
         group = [h for h in alive if cols[h]["roots"][i]]
@@ -206,6 +210,13 @@ def _merge_headers(facts) -> list[dict]:
         if pair:
             kept = max(pair, key=len)
             absorb(kept, [h for h in pair if h != kept])
+    merged = []
+    for root in alive:
+        stack = taken[root][::-1]
+        while stack:
+            gone = stack.pop()
+            merged.append({"gone": gone, "kept": root, "turn": len(merged)})
+            stack += taken[gone][::-1]
     return merged
 
 
@@ -219,16 +230,11 @@ def merge_duplicate_columns(cells: DataFrame) -> DataFrame:
     """Columns that repeat one real column are merged into the longest header; gaps are filled in merge order."""
     heads = cells.groupBy("job_id", "field").agg(F.min("col_idx").alias("c"))
     forms = heads.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "field"))), lambda x: x["field"]).alias("headers"))
-    forms = forms.withColumn("signature", F.xxhash64(F.array_join("headers", "")))
-    merges = column_merges(forms.groupBy("signature").agg(F.min("headers").alias("headers")))
-    # a survivor may itself be merged later: follow the chain to its end (at most the number of header families)
-    step = merges
-    for _ in range(4):
-        nxt = merges.select(F.col("signature"), F.col("gone").alias("kept"), F.col("kept").alias("kept2"))
-        step = step.join(nxt, ["signature", "kept"], "left").select("signature", "gone", F.coalesce("kept2", "kept").alias("kept"))
-    where = forms.select("job_id", "signature").join(step, "signature").select("job_id", F.col("gone").alias("field"), "kept")
+    forms = forms.withColumn("signature", F.col("headers"))
+    merges = column_merges(forms.select("signature", "headers").distinct())
+    where = forms.select("job_id", "signature").join(merges, "signature").select("job_id", F.col("gone").alias("field"), "kept", "turn")
     j = cells.join(where, ["job_id", "field"], "left").withColumn("target", F.coalesce("kept", "field"))
-    own_first = F.struct(F.col("kept").isNotNull(), F.col("col_idx"))
+    own_first = F.coalesce("turn", F.lit(-1))
     filled = F.nullif("value", F.lit(""))
     return j.groupBy("job_id", "row_idx", F.col("target").alias("field")).agg(
         F.min_by("value", F.when(filled.isNotNull(), own_first)).alias("value"), F.min(F.when(F.col("kept").isNull(), F.col("col_idx"))).alias("col_idx"))

@@ -76,8 +76,10 @@ AGREED, DISPUTED = ("gemini", "azure", "vision"), ("vision", "azure", "gemini")
 
 def vote_name_tokens_positional(readings: DataFrame, vocab: DataFrame) -> DataFrame:
     """Token by token vote over gemini, azure and vision; adds ``winner`` and ``method``."""
-    d = readings.select(*AGREED).distinct().withColumn("__id", F.xxhash64(*[F.coalesce(F.col(e), F.lit("")) for e in AGREED]))
-    toks = d.select(*AGREED, "__id", *[T.tokens(F.coalesce(F.col(e), F.lit(""))).alias(f"t_{e}") for e in AGREED])
+    # a null reading and an empty one are the same reading; the three texts themselves are the key
+    three = F.struct(*[F.coalesce(F.col(e), F.lit("")).alias(e) for e in AGREED])
+    d = readings.select(three.alias("__id")).distinct().select("__id", "__id.*")
+    toks = d.select(*AGREED, "__id", *[T.tokens(F.col(e)).alias(f"t_{e}") for e in AGREED])
     words = toks.select("__id", F.explode(F.array_distinct(F.transform(F.concat("t_gemini", "t_azure", "t_vision"), lambda t: T.fold(t, "alef")))).alias("token"))
     hits = words.join(vocab.select("token").distinct(), "token").groupBy("__id").agg(F.collect_list("token").alias("hits"))
     j = toks.join(hits, "__id", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
@@ -118,7 +120,7 @@ def vote_name_tokens_positional(readings: DataFrame, vocab: DataFrame) -> DataFr
     winner = F.when(n == 0, "").when(n == 1, F.coalesce(*[F.when(~blank[e], F.col(e)) for e in AGREED])).otherwise(
         F.array_join(F.transform("__v", lambda v: v["t"]), " "))
     out = voted.select("__id", winner.alias("winner"), summary.alias("method"))
-    keyed = readings.withColumn("__id", F.xxhash64(*[F.coalesce(F.col(e), F.lit("")) for e in AGREED]))
+    keyed = readings.withColumn("__id", three)
     return keyed.join(out, "__id").drop("__id")
 
 

@@ -52,7 +52,8 @@ def suggest_token(tokens: DataFrame, names: DataFrame, past: DataFrame, min_conf
     t = tokens.select("token").distinct().join(past.select("token", "past"), "token", "left")
     by_past = t.filter("past is not null and past <> token").select("token", F.col("past").alias("suggested"), F.lit(0.99).alias("confidence"), F.lit("correction").alias("source"))
     rest = t.filter("past is null or past = token").select("token").join(names.select(F.col("name").alias("token")).distinct(), "token", "left_anti")
-    pairs = _candidate_pairs(rest, names.select("name").distinct(), 1, 2, 2, 0.356)
+    # a confidence is rounded to two places, so distances up to half a hundredth more can still reach the least one
+    pairs = _candidate_pairs(rest, names.select("name").distinct(), 1, 2, 2, min(1.0, 1 - min_confidence + 0.006))
     rank = F.struct("norm_distance", (~F.col("name").isin(*K.PRIORITY_NAMES)).alias("p"), "name")
     best = pairs.groupBy("token").agg(F.min_by(F.struct("name", "confidence"), rank).alias("b")).filter(F.col("b.confidence") >= min_confidence)
     return by_past.unionByName(best.select("token", F.col("b.name").alias("suggested"), F.col("b.confidence").alias("confidence"), F.lit("static").alias("source")))

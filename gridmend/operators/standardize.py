@@ -214,27 +214,28 @@ CHOICE_RULES = {"gender": (K.MALE, K.FEMALE), "approval": (K.AGREE, K.DISAGREE),
 def recode_fixed_choice(cells: DataFrame) -> DataFrame:
     """Allowed answers only: kept, de-repeated, recognised after folding, or blanked. Lone marks stay.
 
-    Adds ``method``: kept, normalised, mark, blanked, or null outside fixed-choice columns. The patterns run once per
-    distinct answer of a column, of which there are few, and the outcome is joined back.
+    Adds ``method``: kept, normalised, mark, blanked, or null outside fixed-choice columns. A projection: every step is
+    staged once, and a later one is only evaluated where the earlier, cheaper ones leave the answer open.
     """
     filled = T.strip(F.col("value")) != ""
-    answers = cells.filter(choice_kind(F.col("field")).isNotNull() & filled).select("field", "value").distinct()
-    raw = F.col("raw")
-    d = answers.withColumn("raw", T.strip(F.col("value"))).withColumn("kind", choice_kind(F.col("field")))
-    d = d.withColumn("dedup", F.array_join(F.array_distinct(T.tokens(raw)), " ")).withColumn("folded", T.fold(raw, "choice"))
-    answer, how = F.lit(None).cast("string"), F.lit("blanked")
+    kind, raw, dedup, folded = F.col("__kind"), F.col("__raw"), F.col("__dedup"), F.col("__folded")
+    known = F.lit(False)
+    for k, rules in CHOICE_RULES.items():
+        known = known | ((kind == k) & raw.isin(*[a for a, _ in rules]))
+    staged = cells.withColumn("__kind", F.when(filled, choice_kind(F.col("field")))).withColumn("__raw", F.when(kind.isNotNull(), T.strip(F.col("value"))))
+    staged = staged.withColumn("__open", kind.isNotNull() & ~known)
+    staged = staged.withColumn("__dedup", F.when(F.col("__open"), F.array_join(F.array_distinct(T.tokens(raw)), " "))).withColumn("__folded", F.when(F.col("__open"), T.fold(raw, "choice")))
+    answer, how = F.lit(None).cast("string"), F.lit(None).cast("string")
     for k, rules in CHOICE_RULES.items():
         allowed = [a for a, _ in rules]
-        new = F.when(raw.isin(*allowed), F.col("value")).when(F.col("dedup").isin(*allowed), F.col("dedup")).when(raw.rlike(K.LONE_MARK), F.col("value"))
-        way = F.when(raw.isin(*allowed), "kept").when(F.col("dedup").isin(*allowed), "normalised").when(raw.rlike(K.LONE_MARK), "mark")
+        new = F.when(~F.col("__open"), F.col("value")).when(dedup.isin(*allowed), dedup).when(raw.rlike(K.LONE_MARK), F.col("value"))
+        way = F.when(~F.col("__open"), "kept").when(dedup.isin(*allowed), "normalised").when(raw.rlike(K.LONE_MARK), "mark")
         for a, pattern in rules:
-            hit = F.col("folded").rlike(pattern)
+            hit = folded.rlike(pattern)
             new, way = new.when(hit, a), way.when(hit, "normalised")
-        answer, how = F.when(F.col("kind") == k, new).otherwise(answer), F.when(F.col("kind") == k, way.otherwise("blanked")).otherwise(how)
-    judged = d.select("field", "value", answer.alias("answer"), how.alias("method"))
-    j = cells.join(judged, ["field", "value"], "left")
+        answer, how = F.when(kind == k, new).otherwise(answer), F.when(kind == k, way.otherwise("blanked")).otherwise(how)
     rest = [F.col(c) for c in cells.columns if c != "value"]
-    return j.select(*rest, F.col("value").alias("before"), F.when(F.col("method").isNull(), F.col("value")).otherwise(F.col("answer")).alias("value"), "method")
+    return staged.select(*rest, F.col("value").alias("before"), F.when(kind.isNull(), F.col("value")).otherwise(answer).alias("value"), how.alias("method"))
 
 
 def clean_selection_marks(v: Column) -> Column:

@@ -84,7 +84,7 @@ def parse_pipe_text(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 def pipe_names(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per separated line the first cell after the first with two Arabic letters; only such lines advance the row."""
     def name(line):
-        return F.filter(F.slice(_cells_of(line), 2, 1_000_000), lambda c: T.arabic_chars(c) >= 2)
+        return F.filter(F.slice(_cells_of(line), F.lit(2), F.greatest(F.lit(0), F.size(_cells_of(line)) - 1)), lambda c: T.arabic_chars(c) >= 2)
 
     found = F.transform(F.filter(T.lines(F.col(text)), lambda x: x.contains("|")), name)
     names = F.transform(F.filter(found, lambda a: F.size(a) > 0), lambda a: a[0])
