@@ -40,48 +40,58 @@ def _labelled(rows: DataFrame, comp: DataFrame, column: str, out: str) -> DataFr
     return rows.join(c, F.col(column) == F.col("__k"), "left").withColumn(out, F.coalesce("__r", column)).drop("__k", "__r")
 
 
-def grouped(members: DataFrame, verify: Callable[[DataFrame], DataFrame], score: Callable[[Column, Column], Column], cut: int) -> DataFrame:
+#: Linear rounds before the pairs that still lie across components are made.
+ROUNDS = 2
+
+
+def grouped(members: DataFrame, verify: Callable[[DataFrame], DataFrame], score: Callable[[Column, Column], Column], cut: int,
+            rest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, root) of all ids that have a verified link, from rows (bucket, id, sig) that name candidates.
 
     ``score`` estimates from two signatures how alike their owners are; pairs under ``cut`` are no candidates. ``verify``
     takes pairs (a, b) and returns those that hold. A group needs one link per member to be found, not all its pairs:
 
-    1. every id is verified against the most promising of its buckets' representatives (four per bucket), which ties
-       groups together in time linear in the members;
-    2. where a bucket still holds several components, every id is verified against its most promising partner in
-       another component;
-    3. pairs that then still lie across components are all verified.
+    * In each round every bucket names four representatives, two of them from different components, and every id is
+      verified against the most promising one that is not in its own component. That is linear in the members, and
+      components that belong together at least halve in number. A bucket with one component left drops out.
+    * After the rounds, or when they bring nothing new, all candidate pairs that still lie across components are
+      verified: by ``rest``, which takes the members (bucket, id, root) of the buckets still open and returns the links
+      that join components, or else pair by pair.
 
     So every candidate pair that could join two components is tested, and pairs inside a component are not made at all.
     """
-    plain, salted = F.struct("id", "sig"), F.struct(F.xxhash64("id", F.lit(1)).alias("z"), F.col("id"), F.col("sig"))
-    ends = [F.min(plain).alias("r0"), F.max(plain).alias("r1"), F.min(salted).alias("r2"), F.max(salted).alias("r3")]
-    reps = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), *ends).where("c > 1")
-    live = saved(members.join(reps.withColumnRenamed("bucket", "k"), F.col("bucket") == F.col("k"), "inner").drop("k", "c"))
-    scored = live.select("id", *[F.col(f"r{i}.id").alias(f"i{i}") for i in range(4)], *[score(F.col(f"r{i}.sig"), F.col("sig")).alias(f"s{i}") for i in range(4)])
-    offers = F.array(*[F.when((F.col(f"i{i}") != F.col("id")) & (F.col(f"s{i}") >= cut), F.struct(F.col(f"s{i}").alias("s"), F.col(f"i{i}").alias("id"))) for i in range(4)])
-    best = scored.select("id", F.array_max(offers).alias("o")).where("o IS NOT NULL").groupBy("id").agg(F.max("o").alias("o"))
-    first = saved(best.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct())
-    held = saved(verify(first))
-    comp = components(held)
-    labelled = _labelled(live.select("bucket", "id", "sig"), comp, "id", "root")
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select(F.col("bucket").alias("k"))
-    open_ = saved(labelled.join(mixed, F.col("bucket") == F.col("k"), "left_semi"))
-    other = open_.toDF("bucket2", "id2", "sig2", "root2")
-    apart = (F.col("bucket") == F.col("bucket2")) & (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & (score(F.col("sig"), F.col("sig2")) >= cut)
-    across = open_.join(other, apart, "inner").select(F.col("id").alias("a"), F.col("id2").alias("b"), score(F.col("sig"), F.col("sig2")).alias("s")).distinct()
-    rest = saved(across.join(first, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
-        return comp
-    sides = rest.select("a", F.struct("s", "b").alias("o")).union(rest.select("b", F.struct("s", "a")))
-    second = saved(sides.groupBy("a").agg(F.max("o").alias("o")).select(F.least("a", "o.b").alias("a"), F.greatest("a", "o.b").alias("b")).distinct())
-    more = saved(verify(second))
-    if not more.isEmpty():
-        held = held.union(more)
+    several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("bucket").alias("k"))
+    live = saved(members.join(several, F.col("bucket") == F.col("k"), "left_semi").select("bucket", "id", "sig").withColumn("root", F.col("id")))
+    held = tested = comp = None
+    for turn in range(ROUNDS):
+        salt = F.xxhash64("id", F.lit(turn))
+        ends = [f(F.struct(*order, "id", "root", "sig")) for order in ((F.col("root").alias("o1"), salt.alias("o2")), (salt.alias("o1"),)) for f in (F.min, F.max)]
+        reps = live.groupBy("bucket").agg(*[e.alias(f"r{i}") for i, e in enumerate(ends)]).withColumnRenamed("bucket", "k")
+        met = live.join(reps, F.col("bucket") == F.col("k"), "inner")
+        scored = met.select("id", "root", *[F.col(f"r{i}.id").alias(f"i{i}") for i in range(4)], *[F.when(F.col(f"r{i}.root") != F.col("root"), score(F.col(f"r{i}.sig"), F.col("sig"))).alias(f"s{i}") for i in range(4)])
+        offers = F.array(*[F.when(F.col(f"s{i}") >= cut, F.struct(F.col(f"s{i}").alias("s"), F.col(f"i{i}").alias("id"))) for i in range(4)])
+        best = scored.select("id", F.array_max(offers).alias("o")).where("o IS NOT NULL").groupBy("id").agg(F.max("o").alias("o"))
+        pairs = best.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
+        pairs = saved(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        if turn and pairs.isEmpty():
+            break
+        more = saved(verify(pairs))
+        tested = pairs if tested is None else tested.union(pairs)
+        if turn and more.isEmpty():
+            break
+        held = more if held is None else held.union(more)
         comp = components(held)
-    untested = _labelled(_labelled(rest.select("a", "b").join(second, ["a", "b"], "left_anti"), comp, "a", "ra"), comp, "b", "rb")
-    third = saved(untested.where("ra != rb").select("a", "b"))
-    if third.isEmpty():
+        labelled = _labelled(live.drop("root"), comp, "id", "root")
+        mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select(F.col("bucket").alias("k"))
+        live = saved(labelled.join(mixed, F.col("bucket") == F.col("k"), "left_semi"))
+    if rest is not None:
+        last = saved(rest(live.select("bucket", "id", "root")))
+        return comp if last.isEmpty() else components(held.union(last))
+    other = live.toDF("bucket2", "id2", "sig2", "root2")
+    apart = (F.col("bucket") == F.col("bucket2")) & (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & (score(F.col("sig"), F.col("sig2")) >= cut)
+    across = live.join(other, apart, "inner").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    untested = saved(across.join(tested, ["a", "b"], "left_anti"))
+    if untested.isEmpty():
         return comp
-    last = saved(verify(third))
+    last = saved(verify(untested))
     return comp if last.isEmpty() else components(held.union(last))

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ K = BANDS * ROWS
 #: Bits of the sketches' 800 that have to agree before two texts are read again. At similarity 0.8, 720 do on average;
 #: this is three standard deviations (17 each) under it.
 AGREE = 668
+#: A bucket that still holds several components is compared in blocks of about so many rows and shingles at most.
+BLOCK_ROWS, BLOCK_ITEMS, COLUMNS = 512, 1 << 20, 4096
 GOLD = np.uint64(hashing.BASE)
 #: A sketch holds the low byte of every coordinate, eight to a long.
 SKETCH = -(-K // 8)
@@ -134,6 +137,57 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of a text as a set: the n-th occurrence of a shingle is an element of its own."""
+    for b in batches:
+        texts, sets = b.column("t").to_pylist(), []
+        for t in texts:
+            _, item, count = weighted(*hashing.word_hashes([t.lower()]))
+            nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            sets.append(hashing.mix64(np.repeat(item, count) + nth.astype(np.uint64) * GOLD).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sets, pa.binary()), pa.array([len(x) // 8 for x in sets], pa.int64())], ["key", "items", "n"])
+
+
+def _links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links that join components among the rows of a block, or between two blocks, from exact similarities.
+
+    The common elements of all pairs are counted by a product of element matrices, a few thousand elements at a time.
+    """
+    items = [np.frombuffer(x, np.uint64) for x in rows["items"]]
+    size = np.array([len(x) for x in items], np.float32)
+    owner = np.repeat(np.arange(len(items)), size.astype(np.int64))
+    _, inverse, count = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1
+    several = count[inverse] > 1
+    owner, column = owner[several], place[inverse[several]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(items), len(items)), np.float32)
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((len(items), COLUMNS), np.float32)
+        part[owner[a:b], column[a:b] - low] = 1
+        common += part @ part.T
+    root, block = rows["root"].to_numpy(), rows["block"].to_numpy()
+    similar = common >= SIMILARITY * (size[:, None] + size[None, :] - common)
+    if rows["lo"].iloc[0] != rows["hi"].iloc[0]:
+        similar &= block[:, None] != block[None, :]
+    parent: dict = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    found = []
+    for i, j in zip(*np.nonzero(np.triu(similar, 1))):
+        x, y = find(root[i]), find(root[j])
+        if x != y:
+            parent[x] = y
+            found.append((rows["id"].iloc[i], rows["id"].iloc[j]))
+    return pd.DataFrame(found, columns=["a", "b"])
+
+
 def _agreeing(a: Column, b: Column) -> Column:
     """Number of equal bits of two sketches."""
     return F.lit(8 * K) - reduce(lambda x, y: x + y, [F.bit_count(F.get(a, F.lit(j)).bitwiseXOR(F.get(b, F.lit(j)))) for j in range(SKETCH)])
@@ -171,7 +225,17 @@ def _classes(docs: DataFrame) -> DataFrame:
         both = pairs.join(a, F.col("a") == F.col("ka"), "inner").join(b, F.col("b") == F.col("kb"), "inner")
         return both.select("a", "b", "ta", "tb").mapInArrow(_alike, "a binary, b binary")
 
-    near = grouped(members, verify, _agreeing, AGREE)
+    def rest(live: DataFrame) -> DataFrame:
+        ask = live.select("id").distinct()
+        sets = saved(keyed.select("key", "t").join(ask, F.col("key") == F.col("id"), "left_semi").dropDuplicates(["key"]).mapInArrow(_elements, "key binary, items binary, n bigint"))
+        rows = live.join(sets, F.col("id") == F.col("key"), "inner")
+        blocks = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_ITEMS)).cast("int").alias("nb")).withColumnRenamed("bucket", "k")
+        placed = rows.join(blocks, F.col("bucket") == F.col("k"), "inner").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+        paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        sided = paired.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "root", "items")
+        return sided.groupBy("bucket", "lo", "hi").applyInPandas(_links, "a binary, b binary").distinct()
+
+    near = grouped(members, verify, _agreeing, AGREE, rest)
     group = heads.join(near.select("id", "root"), F.col("key") == F.col("id"), "left").select("key", "head", F.coalesce("root", "key").alias("root"))
     first = group.groupBy("root").agg(F.min("head").alias("class_id"), F.min_by("key", F.struct(F.col("head").isNull(), "head", "key")).alias("best")).select(F.col("root").alias("r"), "class_id", "best")
     named = group.join(first, F.col("root") == F.col("r"), "inner").select(F.col("key").alias("k"), "head", "class_id", (F.col("key") == F.col("best")).alias("best"))
