@@ -21,7 +21,11 @@ def stale_jobs(jobs: DataFrame, now: Column, minutes: int = K.STALE_MINUTES, sin
 
 
 def blocks_per_window(window_seconds: int) -> int:
-    """Windows per time block: a block spans two hours at most, so its distinct milliseconds stay below 7.2 million."""
+    """Windows per time block: two hours in all where windows are shorter than one, else two windows.
+
+    A block holds the distinct milliseconds of its span, so windows of an hour keep it below 7.2 million; the limits in
+    use are a minute to an hour. Longer windows mean larger blocks.
+    """
     return max(2, min(64, 7200 // window_seconds))
 
 

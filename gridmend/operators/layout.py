@@ -254,10 +254,14 @@ def order_columns_by_text(headers: DataFrame, docs: DataFrame) -> DataFrame:
     return allh.withColumn("position", F.row_number().over(w) - 1).drop("pos")
 
 
+#: Rows of a column that one window holds at most.
+FILL_BLOCK = 1 << 16
+
+
 def fill_column_down(cells: DataFrame, edits: DataFrame) -> DataFrame:
     """An edit fills the empty cells below it in its column; never on personal names, birth dates, phones or choices.
 
-    With several edits in a column the nearest one above wins, found per cell by an aggregate over its candidates.
+    With several edits in a column the nearest one above wins, passed down block by block of rows.
     """
     f = F.col("field")
     # --- fixed values: columns in which one value cannot be right for every row ---
@@ -268,8 +272,15 @@ def fill_column_down(cells: DataFrame, edits: DataFrame) -> DataFrame:
     usable = edits.filter((F.coalesce("new_value", F.lit("")) != "") & ~primary & ~choice).select(
         "job_id", "field", F.col("row_idx").alias("edit_row"), "new_value")
     empty = cells.filter(F.coalesce("value", F.lit("")) == "").select("job_id", "row_idx", "field")
-    fills = (empty.join(usable, ["job_id", "field"]).filter("row_idx > edit_row").groupBy("job_id", "row_idx", "field")
-             .agg(F.max_by("new_value", "edit_row").alias("fill")))
+    # the nearest edit above: inside the row's block, else carried over from the blocks before
+    last_in_row = usable.groupBy("job_id", "field", F.col("edit_row").alias("row_idx")).agg(F.max("new_value").alias("new_value"))
+    marks = empty.select("job_id", "field", "row_idx", F.lit(None).cast("string").alias("new_value")).unionByName(last_in_row).withColumn("blk", block_of("row_idx", FILL_BLOCK))
+    per_block = marks.groupBy("job_id", "field", "blk").agg(F.max_by("new_value", F.when(F.col("new_value").isNotNull(), F.col("row_idx"))).alias("last"))
+    before = Window.partitionBy("job_id", "field").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_block.select("job_id", "field", "blk", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    inside = Window.partitionBy("job_id", "field", "blk").orderBy("row_idx", F.col("new_value").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    near = marks.withColumn("near", F.last("new_value", ignorenulls=True).over(inside)).filter("new_value is null")
+    fills = near.join(carried, ["job_id", "field", "blk"]).select("job_id", "row_idx", "field", F.coalesce("near", "carried").alias("fill")).filter("fill is not null").distinct()
     direct = usable.withColumnRenamed("edit_row", "row_idx").withColumnRenamed("new_value", "typed")
     j = cells.join(fills, ["job_id", "row_idx", "field"], "left").join(direct, ["job_id", "row_idx", "field"], "left")
     return j.withColumn("value", F.coalesce("typed", "fill", "value")).drop("typed", "fill")
