@@ -40,12 +40,8 @@ def _labelled(rows: DataFrame, comp: DataFrame, column: str, out: str) -> DataFr
     return rows.join(c, F.col(column) == F.col("__k"), "left").withColumn(out, F.coalesce("__r", column)).drop("__k", "__r")
 
 
-#: Linear rounds before the pairs that still lie across components are made.
-ROUNDS = 2
-
-
 def grouped(members: DataFrame, verify: Callable[[DataFrame], DataFrame], score: Callable[[Column, Column], Column], cut: int,
-            rest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+            rest: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 2) -> DataFrame:
     """(id, root) of all ids that have a verified link, from rows (bucket, id, sig) that name candidates.
 
     ``score`` estimates from two signatures how alike their owners are; pairs under ``cut`` are no candidates. ``verify``
@@ -63,7 +59,7 @@ def grouped(members: DataFrame, verify: Callable[[DataFrame], DataFrame], score:
     several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("bucket").alias("k"))
     live = saved(members.join(several, F.col("bucket") == F.col("k"), "left_semi").select("bucket", "id", "sig").withColumn("root", F.col("id")))
     held = tested = comp = None
-    for turn in range(ROUNDS):
+    for turn in range(rounds):
         salt = F.xxhash64("id", F.lit(turn))
         ends = [f(F.struct(*order, "id", "root", "sig")) for order in ((F.col("root").alias("o1"), salt.alias("o2")), (salt.alias("o1"),)) for f in (F.min, F.max)]
         reps = live.groupBy("bucket").agg(*[e.alias(f"r{i}") for i, e in enumerate(ends)]).withColumnRenamed("bucket", "k")

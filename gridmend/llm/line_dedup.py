@@ -171,7 +171,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
         both = pairs.join(a, F.col("a") == F.col("ha"), "inner").join(b, F.col("b") == F.col("hb"), "inner")
         return both.select("a", "b", "la", "lb").mapInArrow(_similar, "a binary, b binary")
 
-    near = grouped(members, verify, _agreeing, 128 - FAR)
+    near = grouped(members, verify, _agreeing, 128 - FAR, rounds=1)  # every round reads the texts again
     firsts = near.join(groups.select("h", "first"), F.col("id") == F.col("h"), "inner").select("id", "root", "first")
     best = firsts.groupBy("root").agg(F.min_by("id", "first").alias("best")).select(F.col("best"), F.col("root").alias("r"))
     gone = saved(firsts.join(best, F.col("root") == F.col("r"), "inner").where("id != best").select(F.col("id").alias("g")))
