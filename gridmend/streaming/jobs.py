@@ -124,9 +124,41 @@ def settle_stream(events: DataFrame, opening_cents: int = K.SIGNUP_GRANT_CENTS,
             .transformWithStateInPandas(_Settlement(opening_cents, rules), SETTLE_SCHEMA, "Append", "EventTime"))
 
 
-def in_flight_uploads(uploads: DataFrame, within: str = WATERMARK) -> DataFrame:
-    """First upload of a file by a user while the earlier one may still be running."""
-    return uploads.withWatermark("ts", within).dropDuplicatesWithinWatermark(["user_id", "file_hash"])
+class _Uploads(StatefulProcessor):
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", "job_id string, status string, at long", ttlDurationMs=self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["ts", "ev_id"])
+        job, status, at = tuple(self.latest.get()) if self.latest.exists() else (None, None, -1)
+        out = []
+        for ev, ts, kind, j, st in zip(batch.ev_id, batch.ts, batch.kind, batch.job_id, batch.status):
+            if kind == "status":
+                now = int(ts.value)
+                if now >= at:  # an older report that comes later does not undo a newer one
+                    job, status, at = j, st, now
+            else:
+                action = "new" if job is None else "in_progress" if status in ("pending", "processing") else "rerun"
+                out.append((ev, *key, action, job))
+        if job is not None:
+            self.latest.update((job, status, at))
+        yield pd.DataFrame(out, columns=["upload_id", "user_id", "file_hash", "action", "job_id"])
+
+    def close(self) -> None:
+        pass
+
+
+def upload_dedup_stream(events: DataFrame, keep_days: int = 365) -> DataFrame:
+    """Every upload with what it leads to, as ``flow.upload_dedup`` decides: the running job, a re-run or a new job.
+
+    ``events``: user_id, file_hash, ts, ev_id, kind (upload or status), job_id and status (of status reports). One row of
+    state per (user, file), dropped ``keep_days`` after its last report.
+    """
+    return (events.withWatermark("ts", WATERMARK).groupBy("user_id", "file_hash").transformWithStateInPandas(
+        _Uploads(keep_days * 86_400_000), "upload_id string, user_id string, file_hash string, action string, job_id string", "Append", "ProcessingTime"))
 
 
 def activity_stream(visits: DataFrame) -> DataFrame:

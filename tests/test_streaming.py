@@ -56,3 +56,19 @@ def test_watchdog_fails_only_silent_jobs(spark):
     rows = [("a", "processing", m(0)), ("b", "pending", m(1)), ("a", "completed", m(10)), ("c", "pending", m(30)), ("z", "pending", m(400)), ("z", "completed", m(401)), ("y", "completed", m(900)), ("y", "completed", m(901)), ("y", "completed", m(902))]
     got = run_stream(spark, rows, "job_id string, status string, ts timestamp", lambda s: ST.watchdog_stream(s), "wd", batches=3)
     assert {r.job_id for r in got} == {"b", "c"}
+
+
+def test_uploads_name_the_running_job(spark):
+    rnd, rows, latest, want = random.Random(8), [], {}, set()
+    for i in range(90):
+        user, file, ev = f"u{rnd.randrange(3)}", f"f{rnd.randrange(3)}", f"{i:05d}"
+        if rnd.random() < 0.5:
+            job, status = f"j{rnd.randrange(9)}", rnd.choice(["pending", "processing", "completed", "failed"])
+            rows.append((user, file, T0 + dt.timedelta(seconds=i), ev, "status", job, status))
+            latest[user, file] = (job, status)
+        else:
+            job, status = latest.get((user, file), (None, None))
+            rows.append((user, file, T0 + dt.timedelta(seconds=i), ev, "upload", None, None))
+            want.add((ev, user, file, "new" if job is None else "in_progress" if status in ("pending", "processing") else "rerun", job))
+    got = run_stream(spark, rows, "user_id string, file_hash string, ts timestamp, ev_id string, kind string, job_id string, status string", ST.upload_dedup_stream, "up")
+    assert {tuple(r) for r in got} == want
