@@ -19,11 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridmend.llm import hashing
-from gridmend.llm.common import row_key, saved, text_of, without
+from gridmend.llm.common import FILTER_BITS, bit_filter, bit_of, passes, row_key, saved, text_of, without
 
 SEED, COVERAGE = 5, 0.6
-#: Size of the seed filter sent to every task, whatever the size of the benchmark: 2**24 bits, 2 MB.
-FILTER_BITS, PAGE_BITS = 24, 15
 _PUNCT = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 FOLD = bytes.maketrans(_PUNCT, b" " * len(_PUNCT))
 
@@ -48,8 +46,7 @@ def _seed_rows(test: np.ndarray | None):
             for lo, hi in hashing.slices(texts, 1 << 20):
                 owner, at, h, count = _seeds(texts[lo:hi])
                 if test is not None:
-                    bit = h & np.uint64((1 << FILTER_BITS) - 1)
-                    hit = np.flatnonzero(test[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+                    hit = np.flatnonzero(passes(test, (h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)))
                     owner, at, h = owner[hit], at[hit], h[hit]
                 pick = pa.array(owner + lo)
                 yield pa.RecordBatch.from_arrays([b.column("__id").take(pick), b.column("__th").take(pick), pa.array(at.astype(np.int32)), pa.array(h.astype(np.int64)), pa.array(count[owner].astype(np.int32))],
@@ -68,14 +65,8 @@ def seeds(table: DataFrame, id_column: str, only: np.ndarray | None = None) -> D
 
 
 def seed_filter(items: DataFrame) -> np.ndarray:
-    """Bitmap of the low bits of all benchmark seeds, built by Spark; its size is fixed, a large benchmark only fills it."""
-    bit = F.col("seed").bitwiseAND((1 << FILTER_BITS) - 1)
-    pages = items.groupBy(F.shiftright(bit, PAGE_BITS).cast("int").alias("page")).agg(F.bitmap_construct_agg(bit.bitwiseAND((1 << PAGE_BITS) - 1)).alias("bits"))
-    size = 1 << PAGE_BITS - 3
-    out = np.zeros(1 << FILTER_BITS - 3, np.uint8)
-    for row in pages.toLocalIterator():  # 512 pages of 4 kB at most
-        out[row.page * size:(row.page + 1) * size] = np.frombuffer(bytes(row.bits), np.uint8)
-    return out
+    """Filter of fixed size over all benchmark seeds."""
+    return bit_filter(items.select(bit_of(F.col("seed")).alias("bit")))
 
 
 def tile(item_at: np.ndarray, doc_at: np.ndarray) -> tuple[int, int]:

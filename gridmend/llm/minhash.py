@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmend.llm import hashing
-from gridmend.llm.common import row_key, saved, text_of, without
+from gridmend.llm.common import FILTER_BITS, bit_filter, bit_of, row_key, saved, text_of, thinned, without
 from gridmend.llm.graph import grouped
 
 SIMILARITY, SHINGLE = 0.8, 5
@@ -218,17 +218,26 @@ def _classes(docs: DataFrame) -> DataFrame:
     members = live.join(sigs, F.col("key") == F.col("k2"), "inner").select(F.struct("band", "z").alias("bucket"), F.col("key").alias("id"), "sig")
     heads = real.groupBy("key").agg(F.min("doc_id").alias("head"))
 
+    place = lambda key: F.conv(F.hex(F.substring(key, 1, FILTER_BITS // 8)), 16, 10).cast("long")
+    # of equal texts the one with the smallest id is read; repeated rows and chance hits of the filter do no harm
+    heads_of = heads.select(F.col("key").alias("hk"), F.col("head"))
+
+    def asked(ids: DataFrame) -> DataFrame:
+        """(key, t) of the asked texts: thinned by a filter of fixed size in the scan, so that other texts never move."""
+        marks = heads_of.join(ids.select(F.col("id").alias("ask")).distinct(), F.col("hk") == F.col("ask"), "left_semi")
+        mark = lambda key, doc: bit_of(place(key).bitwiseXOR(F.xxhash64(doc)))
+        bitmap = bit_filter(marks.select(mark(F.col("hk"), F.col("head")).alias("bit")))
+        return thinned(keyed.select("key", "t", mark(F.col("key"), F.col("doc_id")).alias("bit")), bitmap).select("key", "t")
+
     def verify(pairs: DataFrame) -> DataFrame:
-        ask = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        texts = saved(keyed.select("key", "t").join(ask, F.col("key") == F.col("id"), "left_semi").dropDuplicates(["key"]))
+        texts = saved(asked(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))))
         a, b = texts.toDF("ka", "ta"), texts.toDF("kb", "tb")
         both = pairs.join(a, F.col("a") == F.col("ka"), "inner").join(b, F.col("b") == F.col("kb"), "inner")
-        return both.select("a", "b", "ta", "tb").mapInArrow(_alike, "a binary, b binary")
+        return both.select("a", "b", "ta", "tb").mapInArrow(_alike, "a binary, b binary").distinct()
 
     def rest(live: DataFrame) -> DataFrame:
-        ask = live.select("id").distinct()
-        sets = saved(keyed.select("key", "t").join(ask, F.col("key") == F.col("id"), "left_semi").dropDuplicates(["key"]).mapInArrow(_elements, "key binary, items binary, n bigint"))
-        rows = live.join(sets, F.col("id") == F.col("key"), "inner")
+        sets = saved(asked(live.select("id")).mapInArrow(_elements, "key binary, items binary, n bigint"))
+        rows = live.join(sets, F.col("id") == F.col("key"), "inner").dropDuplicates(["bucket", "id"])
         blocks = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_ITEMS)).cast("int").alias("nb")).withColumnRenamed("bucket", "k")
         placed = rows.join(blocks, F.col("bucket") == F.col("k"), "inner").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
         paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
