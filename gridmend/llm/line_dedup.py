@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridmend.llm import hashing
-from gridmend.llm.common import row_key, saved, text_of
+from gridmend.llm.common import bit_filter, bit_of, row_key, saved, text_of, thinned
 from gridmend.llm.graph import grouped
 
 SIMILARITY, MIN_WORDS, BLOCKS = 0.9, 5, 4
@@ -164,7 +164,11 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         sites = groups.join(wanted, groups["h"] == wanted["id"], "left_semi").select("h", F.col("first.__id").alias("i"), F.col("first.__th").alias("x"), F.col("first.n").alias("n"))
-        found = sites.join(keyed, F.col("i").eqNullSafe(F.col("__id")) & (F.col("x") == F.col("__th")), "inner")
+        # documents without an asked line are left behind in the scan, by a filter of fixed size
+        near_sites = saved(sites)
+        bitmap = bit_filter(near_sites.select(bit_of(F.col("x")).alias("bit")))
+        held = thinned(keyed.withColumn("bit", bit_of(F.col("__th"))), bitmap)
+        found = near_sites.join(held, F.col("i").eqNullSafe(F.col("__id")) & (F.col("x") == F.col("__th")), "inner")
         # rows alike in id and text hold the same line
         texts = saved(found.select("h", F.get(F.split("t", "\n"), F.col("n")).alias("line")).dropDuplicates(["h"]))
         a, b = texts.toDF("ha", "la"), texts.toDF("hb", "lb")
