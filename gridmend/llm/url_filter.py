@@ -56,18 +56,21 @@ def lexical(pages: DataFrame) -> DataFrame:
     return with_chars.select(*pages.columns, entropy.alias("entropy"), *[c.alias(k) for k, c in cols.items()])
 
 
-def suffix_rates(labelled: DataFrame) -> DataFrame:
-    """Share of blocked URLs per host suffix, shrunk towards the overall share by twenty observations."""
-    every = labelled.agg(F.avg("label").alias("overall"))
+def suffix_rates(labelled: DataFrame) -> tuple[DataFrame, float]:
+    """Share of blocked URLs per host suffix, shrunk towards the overall share by twenty observations; the overall share."""
+    overall = labelled.agg(F.avg("label").alias("r")).first().r
+    overall = 0.5 if overall is None else overall
     per = labelled.groupBy(F.col("suffix").alias("s")).agg(F.sum("label").alias("b"), F.count(F.lit(1)).alias("n"))
-    return saved(per.crossJoin(F.broadcast(every)).select("s", ((F.col("b") + 20 * F.col("overall")) / (F.col("n") + 20)).alias("rate")))  # one row joined to each suffix
+    return saved(per.select("s", ((F.col("b") + 20 * overall) / (F.col("n") + 20)).alias("rate"))), overall
 
 
-def with_rate(pages: DataFrame, rates: DataFrame) -> DataFrame:
-    return pages.join(rates, F.col("suffix") == F.col("s"), "left").drop("s").withColumn("suffix_rate", F.coalesce("rate", F.lit(0.5))).drop("rate")
+def with_rate(pages: DataFrame, rates: tuple[DataFrame, float]) -> DataFrame:
+    """Add suffix_rate; a suffix without labels has the overall share."""
+    per, overall = rates
+    return pages.join(per, F.col("suffix") == F.col("s"), "left").drop("s").withColumn("suffix_rate", F.coalesce("rate", F.lit(float(overall)))).drop("rate")
 
 
-def train(labelled: DataFrame) -> tuple[Trees, DataFrame]:
+def train(labelled: DataFrame) -> tuple[Trees, tuple[DataFrame, float]]:
     """Trees and suffix rates from lexical rows with ``label``; hosts are split, so held-out hosts are new to both."""
     rows = saved(bounded(labelled, SAMPLE, F.col("u")))
     part = F.pmod(F.xxhash64("host"), F.lit(5))
