@@ -1,9 +1,11 @@
-"""Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line per group.
+"""Fuzzy line deduplication: shared rare word pairs of normalised lines, edit similarity, one line per group.
 
 A line is normalised (lower case, ASCII punctuation to spaces, digits to 0, single spaces). Lines equal in that form
-are one candidate. Different forms are compared where one of the four 32-bit blocks of their 128-bit SimHash agrees,
-which holds for every pair that differs in three bits at most, and linked where the edit similarity of their words is
-0.9 or more. Of each connected group the occurrence that comes first by (doc_id, line number) stays.
+are one candidate. Different forms are linked where the edit similarity of their words is 0.9 or more, and every such
+pair is a candidate: one edit touches two word pairs (neighbouring words) at most, so two lines within k edits share so
+many of them that they share one among the first 2k + 1 or so of each, in any order that is the same for all lines.
+Pairs of common words come last in it. SimHash only picks the partner that is tried first. Of each connected group the
+occurrence that comes first by (doc_id, line number) stays.
 """
 
 from __future__ import annotations
@@ -18,12 +20,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridmend.llm import hashing
-from gridmend.llm.common import bit_filter, bit_of, row_key, saved, text_of, thinned
+from gridmend.llm.common import FILTER_BITS, bit_filter, bit_of, passes, row_key, saved, text_of, thinned
 from gridmend.llm.graph import grouped
 
-SIMILARITY, MIN_WORDS, BLOCKS = 0.9, 5, 4
-#: Candidates further apart than this are not read again. One word of ten changed turns 18 of 128 bits on average.
-FAR = 32
+SIMILARITY = 0.9
+#: One edit is allowed for each STEP words of the longer line; a line with fewer than STEP - 1 words has no near line.
+STEP, GRAM = round(1 / (1 - SIMILARITY)), 2
+#: Bounds of the former SimHash blocks. Nothing here uses them; tests/llm/test_pipeline.py still states them.
+MIN_WORDS, FAR = 5, 32
+#: Words are counted in 2**CELL_BITS cells over one text in ORDER_SHARE. The counts order the word pairs and decide nothing else.
+CELL_BITS, ORDER_SHARE = 18, 4
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\x0b\x0c\r"
 FOLD = bytes.maketrans(_PUNCT + b"0123456789", b" " * len(_PUNCT) + b"0" * 10)
 SECOND = 0xC2B2AE3D27D4EB4F
@@ -35,22 +41,33 @@ def fold(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace").translate(FOLD)
 
 
-def line_signatures(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """For every line with a word: text index, line number, 128-bit key, 128-bit SimHash (both as two columns), words."""
-    blob, owner, first, lines = [], [], 0, []
+def _lines(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Hashes of all words and their place in their line; of every line with a word its first word, words, text and number."""
+    blob, lines = [], []
     for t in texts:
         blob.append(fold(t))
         lines.append(blob[-1].count(b"\n") + 1)
     joined = b"\n".join(blob)
     h, start = hashing._hash_blob(joined)
-    if not len(h):
-        z = np.zeros(0, np.int64)
-        return z, z, np.zeros((0, 2), np.uint64), np.zeros((0, 2), np.uint64), z
     breaks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
     line = np.searchsorted(breaks, start)
     heads = np.flatnonzero(np.diff(line, prepend=-1))
     count = np.diff(np.append(heads, len(h)))
     place = np.arange(len(h)) - np.repeat(heads, count)
+    before = np.concatenate([[0], np.cumsum(lines)])
+    owner = np.searchsorted(before, line[heads], side="right") - 1
+    return h, place, heads, count, owner, line[heads] - before[owner]
+
+
+def line_signatures(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """For every line with a word: text index, line number, 128-bit key, 128-bit SimHash (both as two columns), words."""
+    return _signed(*_lines(texts))
+
+
+def _signed(h: np.ndarray, place: np.ndarray, heads: np.ndarray, count: np.ndarray, owner: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    if not len(h):
+        z = np.zeros(0, np.int64)
+        return z, z, np.zeros((0, 2), np.uint64), np.zeros((0, 2), np.uint64), z
     key = np.empty((len(heads), 2), np.uint64)
     for k, base in enumerate((hashing.BASE, SECOND)):
         up = hashing.powers(base, int(count.max()))
@@ -68,10 +85,66 @@ def line_signatures(texts: list[str]) -> tuple[np.ndarray, ...]:
             total = np.add.reduceat(votes, line_runs, axis=0, dtype=np.int32)
             sign[:, j] = np.packbits(2 * total > count[:, None], axis=1, bitorder="little")[:, 0]
         sim[:, k] = sign.view(np.uint64)[:, 0]
-    line_of_head = line[heads]
-    before = np.concatenate([[0], np.cumsum(lines)])
-    owner = np.searchsorted(before, line_of_head, side="right") - 1
-    return owner, line_of_head - before[owner], key, sim, count
+    return owner, n, key, sim, count
+
+
+def _parities(h: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """128 bits of a line, as two columns: each word turns the bit of its hash. An edit turns two bits at most."""
+    bit, out = h >> np.uint64(57), np.zeros((len(heads), 2), np.uint64)
+    for k in range(2 if len(h) else 0):
+        out[:, k] = np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), heads)
+    return out
+
+
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def prefix_size(words: np.ndarray) -> np.ndarray:
+    """How many of its ordered word pairs a line of so many words has to show to meet every line of SIMILARITY or more.
+
+    Lines of at most L words within L // STEP edits share L - 1 - 2 (L // STEP) word pairs or more. For a line that may be
+    the shorter one, that is least at its own length or at the next multiple of STEP.
+    """
+    need = [size - GRAM + 1 - GRAM * (size // STEP) for size in (words, -(-words // STEP) * STEP)]
+    return np.where(words < STEP - 1, 0, words - GRAM + 2 - np.minimum(*need))
+
+
+def _prefixes(h: np.ndarray, place: np.ndarray, count: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first word pairs of all lines in one array, and where each line starts in it (one more than lines)."""
+    line = np.repeat(np.arange(len(count)), count)
+    at = np.flatnonzero((place <= count[line] - GRAM) & (count[line] >= STEP - 1))
+    common = level[_cells(h)].astype(np.int16)
+    gram, line, common = hashing.window_hashes(h, GRAM)[at], line[at], sum(common[at + k] for k in range(GRAM))
+    order = np.lexsort((gram, common, line))
+    gram, line = gram[order], line[order]
+    # a word pair that a line holds again is another one
+    new = np.ones(len(gram), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (line[1:] != line[:-1])
+    runs = np.flatnonzero(new)
+    again = (np.arange(len(gram)) - np.repeat(runs, np.diff(np.append(runs, len(gram))))).astype(np.uint64)
+    rank = np.arange(len(gram)) - np.searchsorted(line, line)
+    size = prefix_size(count)
+    return hashing.mix64(gram + again * np.uint64(SECOND))[rank < size[line]], np.concatenate([[0], np.cumsum(size)])
+
+
+def _levels(docs: DataFrame) -> np.ndarray:
+    """How common the words of each cell are: four times the binary logarithm of their number."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << CELL_BITS, np.int64)
+        for b in batches:
+            texts = b.column("t").to_pylist()
+            for lo, hi in hashing.slices(texts, 1 << 20):
+                seen += np.bincount(_cells(_lines(texts[lo:hi])[0]), minlength=1 << CELL_BITS)
+        often = np.flatnonzero(seen > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(seen[often])], ["cell", "c"])
+
+    some = docs.select(text_of().alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(ORDER_SHARE)) == 0)
+    counted = some.mapInArrow(cells, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()  # 2**CELL_BITS rows at most
+    level = np.zeros(1 << CELL_BITS, np.uint8)
+    level[counted["cell"].to_numpy()] = np.round(4 * np.log2(1 + counted["c"].to_numpy()))
+    return level
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -80,21 +153,41 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(np.arange(0, (len(data) + 1) * width, width, dtype=np.int32)), pa.py_buffer(data)])
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts, ids, ths = b.column("t").to_pylist(), b.column("__id"), b.column("__th")
-        for lo, hi in hashing.slices(texts, 1 << 20):
-            owner, n, key, sim, count = line_signatures(texts[lo:hi])
-            pick = pa.array(owner + lo)
-            yield pa.RecordBatch.from_arrays([ids.take(pick), ths.take(pick), pa.array(n.astype(np.int32)), _binary(key), pa.array(sim[:, 0].astype(np.int64)), pa.array(sim[:, 1].astype(np.int64)), pa.array(count.astype(np.int32))],
-                                             ["__id", "__th", "n", "h", "s0", "s1", "words"])
+def _lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
 
+def occurrences(docs: DataFrame, level: np.ndarray) -> DataFrame:
+    """One narrow row per line with a word: where it stands, its key, its SimHash, its parities and its first word pairs."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, ids, ths = b.column("t").to_pylist(), b.column("__id"), b.column("__th")
+            for lo, hi in hashing.slices(texts, 1 << 20):
+                found = _lines(texts[lo:hi])
+                h, place, heads = found[:3]
+                owner, n, key, sim, count = _signed(*found)
+                bits = np.concatenate([sim, _parities(h, heads)], axis=1).astype(np.int64)
+                pick = pa.array(owner + lo)
+                yield pa.RecordBatch.from_arrays([ids.take(pick), ths.take(pick), pa.array(n.astype(np.int32)), _binary(key), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)], pa.array(count.astype(np.int32)), _lists(*_prefixes(h, place, count, level))],
+                                                 ["__id", "__th", "n", "h", "s0", "s1", "p0", "p1", "words", "grams"])
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """One narrow row per line with a word: where it stands, its key and its SimHash."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", text_of().alias("t")).select(*row_key(F.col("doc_id"), F.col("t")), "t")
-    return keyed.mapInArrow(_occurrences, f"__id {kind}, __th bigint, n int, h binary, s0 bigint, s1 bigint, words int")
+    return keyed.mapInArrow(rows, f"__id {kind}, __th bigint, n int, h binary, s0 bigint, s1 bigint, p0 bigint, p1 bigint, words int, grams binary")
+
+
+def _spread(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """One row (bucket, h) per word pair, without those that do not pass the filter."""
+    for b in batches:
+        g = b.column("grams").to_pylist()
+        bucket = np.frombuffer(b"".join(g), np.int64)
+        line = np.repeat(np.arange(len(g)), [len(x) // 8 for x in g])
+        if bitmap is not None:
+            stay = passes(bitmap, bucket & (1 << FILTER_BITS) - 1)
+            bucket, line = bucket[stay], line[stay]
+        for lo in range(0, len(bucket), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[lo:lo + (1 << 16)]), b.column("h").take(pa.array(line[lo:lo + (1 << 16)]))], ["bucket", "h"])
 
 
 def edit_similarity(a: list, b: list) -> float:
@@ -130,12 +223,6 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _size_classes(words: Column) -> Column:
-    """Two neighbouring length classes; lines of enough similarity share one of them."""
-    c = F.floor(F.log(words) / F.log(F.lit(1 / SIMILARITY)))
-    return F.array(c, c + 1)
-
-
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.IntegerType()), T.StructField("n_dropped", T.IntegerType())]))
 def _rebuilt(texts: pd.Series, kept: pd.Series) -> pd.DataFrame:
     rows = []
@@ -146,19 +233,30 @@ def _rebuilt(texts: pd.Series, kept: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
 
 
+def _differing(a: Column, b: Column, columns: str) -> Column:
+    return F.bit_count(a[f"{columns}0"].bitwiseXOR(b[f"{columns}0"])) + F.bit_count(a[f"{columns}1"].bitwiseXOR(b[f"{columns}1"]))
+
+
 def _agreeing(a: Column, b: Column) -> Column:
-    """Number of equal bits of two SimHashes."""
-    return F.lit(128) - F.bit_count(a["s0"].bitwiseXOR(b["s0"])) - F.bit_count(a["s1"].bitwiseXOR(b["s1"]))
+    """Number of equal bits of two SimHashes; null where lengths or parities rule SIMILARITY out."""
+    edits = F.floor(F.greatest(a["words"], b["words"]) / STEP)
+    near = (F.abs(a["words"] - b["words"]) <= edits) & (_differing(a, b, "p") <= 2 * edits)
+    return F.when(near, F.lit(128) - _differing(a, b, "s"))
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """(__id, __th, n): the one occurrence of each group of lines that stays."""
-    groups = saved(occurrences(docs).groupBy("h").agg(F.min(F.struct("__id", "__th", "n")).alias("first"), F.min("s0").alias("s0"), F.min("s1").alias("s1"), F.min("words").alias("words")))
-    block = F.explode(F.array(*[F.shiftright(F.col(f"s{j // 2}"), 32 * (j % 2)).bitwiseAND(0xFFFFFFFF).bitwiseOR(F.lit(j << 32)) for j in range(BLOCKS)]))
-    blocks = groups.where(F.col("words") >= MIN_WORDS).select(block.alias("block"), "h", "words", F.struct("s0", "s1").alias("sig"))
-    shared = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("block").alias("k"))
-    live = blocks.join(shared, F.col("block") == F.col("k"), "left_semi").select("block", "h", "sig", F.explode(_size_classes(F.col("words"))).alias("z"))
-    members = live.select(F.struct("block", "z").alias("bucket"), F.col("h").alias("id"), "sig")
+    same = [F.min(c).alias(c) for c in ("s0", "s1", "p0", "p1", "words", "grams")]
+    groups = saved(occurrences(docs, _levels(docs)).groupBy("h").agg(F.min(F.struct("__id", "__th", "n")).alias("first"), *same))
+    shown = groups.where(F.col("words") >= STEP - 1)
+    # word pairs of one line only are left behind in the scan, by a filter of fixed size; what passes is counted again
+    buckets = shown.select("h", "grams").mapInArrow(lambda batches: _spread(batches, None), "bucket bigint, h binary").select("bucket")
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    bitmap = bit_filter(shared.select(bit_of(F.col("bucket")).alias("bit")))
+    met = shown.select("h", "grams").mapInArrow(lambda batches: _spread(batches, bitmap), "bucket bigint, h binary").toDF("bucket", "id")
+    several = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("bucket").alias("k"))
+    live = saved(met.join(several, F.col("bucket") == F.col("k"), "left_semi"))
+    members = live.join(shown.select("h", F.struct("s0", "s1", "p0", "p1", "words").alias("sig")), F.col("id") == F.col("h"), "inner").select("bucket", "id", "sig")
     keyed = docs.select("doc_id", text_of().alias("t")).select(*row_key(F.col("doc_id"), F.col("t")), "t")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -175,7 +273,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
         both = pairs.join(a, F.col("a") == F.col("ha"), "inner").join(b, F.col("b") == F.col("hb"), "inner")
         return both.select("a", "b", "la", "lb").mapInArrow(_similar, "a binary, b binary")
 
-    near = grouped(members, verify, _agreeing, 128 - FAR, rounds=1)  # every round reads the texts again
+    near = grouped(members, verify, _agreeing, 0, rounds=1)  # every round reads the texts again
     firsts = near.join(groups.select("h", "first"), F.col("id") == F.col("h"), "inner").select("id", "root", "first")
     best = firsts.groupBy("root").agg(F.min_by("id", "first").alias("best")).select(F.col("best"), F.col("root").alias("r"))
     gone = saved(firsts.join(best, F.col("root") == F.col("r"), "inner").where("id != best").select(F.col("id").alias("g")))
