@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmend.llm import decontaminate, line_dedup, minhash, mixing, pii, quality_classifier, quality_rules, secret_scan, tokens, url_filter
+from gridmend.llm import decontaminate, filter_audit, line_dedup, minhash, mixing, pii, quality_classifier, quality_rules, secret_scan, tokens, url_filter
 from gridmend.session import prepare
 
 
@@ -59,5 +59,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_minhash_dedup, op4_url_filter, op5_token_counts, op6_quality_classifier, op7_secret_scan, op8_pii, op9_decontaminate, op10_quality_rules)}
-ORACLES = {"op1_mix_sources": mixing.ORACLE, "op7_secret_scan": secret_scan.ORACLE}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_minhash_dedup, op4_url_filter, op5_token_counts, op6_quality_classifier, op7_secret_scan, op8_pii, op9_decontaminate, op10_quality_rules, op11_filter_audit)}
+ORACLES = {"op1_mix_sources": mixing.ORACLE, "op7_secret_scan": secret_scan.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
