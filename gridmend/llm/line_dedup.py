@@ -26,8 +26,6 @@ from gridmend.llm.graph import grouped
 SIMILARITY = 0.9
 #: One edit is allowed for each STEP words of the longer line; a line with fewer than STEP - 1 words has no near line.
 STEP, GRAM = round(1 / (1 - SIMILARITY)), 2
-#: Bounds of the former SimHash blocks. Nothing here uses them; tests/llm/test_pipeline.py still states them.
-MIN_WORDS, FAR = 5, 32
 #: Words are counted in 2**CELL_BITS cells over one text in ORDER_SHARE. The counts order the word pairs and decide nothing else.
 CELL_BITS, ORDER_SHARE = 18, 4
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\x0b\x0c\r"

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from gridmend.llm import decontaminate, line_dedup, quality_rules
+from gridmend.llm import decontaminate, quality_rules
+from tests.llm.test_near_lines import kept_by_all_pairs
 
 SF = "/root/testdata/sf0.001"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,26 +88,9 @@ def components(ids, links):
 def test_line_dedup(stages):
     before, after, columns = stages["line_dedup"]
     assert columns == list(corpus_pipeline.COLUMNS) and set(after) == set(before)
-    first, sig = {}, {}
-    for d in sorted(before):
-        lines = (before[d].text or "").split("\n")
-        owner, n, _, sim, count = line_dedup.line_signatures([before[d].text or ""])
-        for k in range(len(n)):
-            words = tuple(line_dedup.fold(lines[n[k]]).split())
-            if words not in first:
-                first[words], sig[words] = (d, int(n[k])), [int(sim[k, j // 2] >> np.uint64(32 * (j % 2))) & 0xFFFFFFFF for j in range(4)]
-    keys = [w for w in first if len(w) >= line_dedup.MIN_WORDS]
-    buckets = collections.defaultdict(list)
-    for w in keys:
-        for j, part in enumerate(sig[w]):
-            buckets[j, part].append(w)
-    links = [(first[a], first[b]) for ws in buckets.values() for i, a in enumerate(ws) for b in ws[:i]
-             if sum((x ^ y).bit_count() for x, y in zip(sig[a], sig[b])) <= line_dedup.FAR and line_dedup.edit_similarity(list(a), list(b)) >= line_dedup.SIMILARITY]
-    root = components(first.values(), links)
-    for d, r in before.items():
-        lines = (r.text or "").split("\n")
-        stay = [x for i, x in enumerate(lines) if not line_dedup.fold(x).split() or root.get((d, i)) == (d, i)]
-        assert after[d].text == "\n".join(stay) and after[d].n_chars == len(after[d].text)
+    want = kept_by_all_pairs({d: r.text for d, r in before.items() if r.text is not None})
+    assert {d: r.text for d, r in after.items()} == {d: want.get(d) for d in before}
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in after.values())
 
 
 def test_near_copies(stages):
