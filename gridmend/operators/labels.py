@@ -134,7 +134,7 @@ def waitlist_view(waitlist: DataFrame, profiles: DataFrame, search: str | None =
 START_STATES = ("pending", "verified", "approved", "rejected")
 
 
-def review_lifecycle(labels: DataFrame, events: DataFrame) -> DataFrame:
+def review_lifecycle(labels: DataFrame, events: DataFrame, resume: bool = False) -> DataFrame:
     """Apply ordered review events to labels.
 
     ``events``: id, seq (long, unique per id), role (reviewer|approver), action (target status or null), label,
@@ -142,6 +142,9 @@ def review_lifecycle(labels: DataFrame, events: DataFrame) -> DataFrame:
     rows.  The state has four values, so a block of events is a map from start state to end state: blocks are
     folded in parallel for all four start states, then the block maps are chained.  No task sees more than one
     block of a hot label, whatever its number of events.
+
+    With ``resume`` the labels bring all columns of an earlier result, and the events continue it: names and times carry
+    on, counts add up.
     """
     ev = events.withColumn("blk", F.floor(F.col("seq") / F.lit(4096)).cast("long"))
     event = F.struct("seq", "role", "action", "label", "actor", "ts", "reason")
@@ -194,13 +197,17 @@ def review_lifecycle(labels: DataFrame, events: DataFrame) -> DataFrame:
             got["status"], F.coalesce(got["label"], acc["label"]),
             F.when(got["v_set"], got["verified_by"]).otherwise(acc["verified_by"]),
             F.when(got["v_set"], got["verified_at"]).otherwise(acc["verified_at"]),
-            *[F.coalesce(got[c], acc[c]) for c in ("approved_by", "approved_at", "rejected_by", "rejected_at", "reason")],
+            # the last approval, and the last rejection with its reason or the lack of one
+            *[F.when(got[at].isNotNull(), got[c]).otherwise(acc[c]) for c, at in (("approved_by", "approved_at"), ("approved_at", "approved_at"), ("rejected_by", "rejected_at"),
+                                                                                  ("rejected_at", "rejected_at"), ("reason", "rejected_at"))],
             F.greatest(got["touched"], acc["touched"]), got["v_set"] | acc["v_set"],
             got["applied"] + acc["applied"]).cast(state_type)
 
-    joined = labels.select("id", F.col("status").alias("__s"), F.col("label").alias("__l")).join(per_id, "id")
-    first = F.struct(F.col("__s"), F.col("__l"), none, none, none, none, none, none, none, F.lit(0), F.lit(False),
-                     F.lit(0).cast("long")).cast(state_type)
-    requested = F.aggregate("chain", F.lit(0).cast("long"), lambda a, b: a + b["requested"])
+    held = [F.col(f"{n}") if resume else none for n in names[2:9]]
+    counts = [F.col(n) if resume else F.lit(0).cast("long") for n in ("applied", "requested")]
+    before = F.struct("status", "label", *held, F.lit(0), F.lit(False), counts[0]).cast(state_type)
+    joined = labels.select("id", before.alias("first"), counts[1].alias("asked")).join(per_id, "id")
+    first = F.col("first")
+    requested = F.aggregate("chain", F.col("asked"), lambda a, b: a + b["requested"])
     out = joined.select("id", F.aggregate("chain", first, chain).alias("st"), requested.alias("requested"))
     return out.select("id", *[F.col(f"st.{n}").alias(n) for n in names if n not in ("touched", "v_set")], "requested")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from gridmend.functions import constants as K
 from gridmend.functions.distributed import first_n, running_total
+from gridmend.operators import settlement
+from gridmend.session import checkpoint
 
 
 def cost_cents(rows: Column) -> Column:
@@ -173,21 +175,30 @@ def settle(events: DataFrame, opening_cents: int = K.SIGNUP_GRANT_CENTS, rules:
     """Ordered settlement per user. ``events``: user_id, ev_id, ts, kind (run|topup|grant|adjust), job_id, amount
     (rows for a run, cents otherwise).
 
-    Whether a run can be paid depends on every earlier event of the account, so one account is one sequence.
-    Rows arrive sorted and are read as a stream: the sort spills in the JVM, Python holds the current account only,
-    and no user is ever gathered into a frame.
+    Whether a run can be paid depends on every earlier event of the account. Accounts of up to SETTLE_BLOCK events are
+    read as sorted streams, one account's state at a time. Longer ones are cut into blocks (``settlement``): a task reads
+    one block, however many events the account has.
     """
     if rules not in RULES:
         raise ValueError(f"unknown rule set {rules}")
-    ordered = (events.select("user_id", "ev_id", "ts", "kind", "job_id", F.col("amount").cast("long").alias("amount"))
-               .repartition("user_id").sortWithinPartitions("user_id", "ts", "ev_id"))
+    own = checkpoint(events.select("user_id", "ev_id", "ts", "kind", "job_id", F.coalesce(F.col("amount"), F.lit(0)).cast("long").alias("amount")))
+    long_ones = checkpoint(own.groupBy("user_id").agg(F.count("*").alias("n")).filter(F.col("n") > settlement.SETTLE_BLOCK).select(F.col("user_id").alias("__u")))
+    mine = F.col("user_id").eqNullSafe(F.col("__u"))
+    few = _settle_streams(own.join(long_ones, mine, "left_anti"), opening_cents, rules)
+    if long_ones.isEmpty():
+        return few
+    return few.unionByName(settlement.settle_blocks(own.join(long_ones, mine, "left_semi"), opening_cents, rules))
+
+
+def _settle_streams(events: DataFrame, opening_cents: int, rules: str) -> DataFrame:
+    ordered = events.repartition("user_id").sortWithinPartitions("user_id", "ts", "ev_id")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         user, account = None, None
         for pdf in batches:
             out = []
             for u, ev, kind, job, amount in zip(pdf.user_id, pdf.ev_id, pdf.kind, pdf.job_id, pdf.amount):
-                if u != user:
+                if account is None or u != user:
                     user, account = u, new_account(opening_cents)
                 outcome, cost, short = settle_event(account, kind, job, int(amount), rules)
                 out.append((u, ev, kind, job, outcome, cost, account["balance"], short))

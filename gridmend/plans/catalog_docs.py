@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gridmend.functions import constants as K
@@ -11,6 +13,7 @@ from gridmend.plans.catalog_cells import csv, dig, only
 from gridmend.plans.catalog_review import DTS, text_ts
 from gridmend.plans.registry import query
 from gridmend.plans.standins import Duck, Spark, cells, duck_cells, oracle, s, table
+from gridmend.session import shared_folder
 from gridmend.sources import documents as D
 from gridmend.sources import sinks
 from gridmend.sources import tables as TB
@@ -183,6 +186,17 @@ def merge_latest(spark, sf):
     return TB.merge_latest(e.filter("id % 2 = 0"), e.filter("id % 2 = 1"), ["k", "f"], ["ts", "id"]).drop("ts")
 
 
+@query("versioned_upsert", oracle("""
+SELECT k, f, arg_max(event_id, (ts, event_id)) AS id, arg_max(value, (ts, event_id)) AS value FROM (SELECT 'u' || user_id AS k, event_type AS f, ts, event_id, value FROM events) GROUP BY k, f"""))
+def versioned_upsert(spark, sf):
+    """Three commits, the last of which repeats rows of the first."""
+    e = table(spark, sf, "events").selectExpr("'u' || user_id as k", "event_type as f", "ts", "event_id as id", "value")
+    root = f"{shared_folder(spark).rstrip('/')}/gridmend-table-{uuid.uuid4().hex}"
+    for part in (e.filter("id % 2 = 0"), e.filter("id % 2 = 1"), e.filter("id % 4 = 0")):
+        TB.versioned_upsert(spark, root, part, ["k", "f"], ["ts", "id"])
+    return TB.read_current(spark, root).drop("ts")
+
+
 @query("archive_manifest", oracle("SELECT crop_path AS path FROM training WHERE crop_path IS NOT NULL UNION SELECT context_path FROM training WHERE context_path IS NOT NULL", "training"))
 def archive_manifest(spark, sf):
     return TB.archive_manifest(table(spark, sf, "training"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmend.functions.distributed import latest_by
+from gridmend.sources.versioned import VersionedTable
 
 
 def scan_table(spark: SparkSession, path: str, status: str | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -30,31 +31,16 @@ def merge_latest(target: DataFrame, updates: DataFrame, keys: list[str], order:
 
 
 def versioned_upsert(spark: SparkSession, root: str, updates: DataFrame, keys: list[str], order: list[str]) -> int:
-    """Write the merged table as the next version folder, then point to it. Readers of the old version are not disturbed.
-
-    The pointer is written only after the data is complete, so a job that dies half way leaves the old version live.
-    """
-    current = current_version(spark, root)
-    merged = updates if current is None else merge_latest(spark.read.parquet(f"{root}/v{current}"), updates, keys, order)
-    if current is None:
-        merged = latest_by(merged, keys, order)
-    nxt = 0 if current is None else current + 1
-    merged.write.mode("overwrite").parquet(f"{root}/v{nxt}")
-    spark.createDataFrame([(nxt,)], "version long").coalesce(1).write.mode("append").json(f"{root}/_versions")
-    return nxt
+    """Commit the updates as the next version of the table at ``root``; its number. Of two writers that meet, one retries."""
+    return VersionedTable(spark, root, keys, order).upsert(updates)
 
 
 def current_version(spark: SparkSession, root: str) -> int | None:
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(f"{root}/_versions")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    row = spark.read.schema("version long").json(f"{root}/_versions").agg(F.max("version")).first()
-    return row[0]
+    return VersionedTable(spark, root, [], []).version()
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/v{current_version(spark, root)}")
+    return VersionedTable.opened(spark, root).read()
 
 
 def cascade_delete(deleted: DataFrame, key: str, dependents: dict[str, tuple[DataFrame, str]],
