@@ -6,7 +6,6 @@ with the largest window of the operator. Stateful processors need the RocksDB st
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gridmend.functions import constants as K
-from gridmend.operators.ledger import new_account, settle_event
+from gridmend.streaming.review import guest_quota_stream, settle_in_order_stream, settle_stream  # noqa: F401
 
 WATERMARK = "1 hour"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -30,6 +29,7 @@ class _RateLimiter(StatefulProcessor):
         self.max_hits, self.window_ms = max_hits, window_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.window = handle.getValueState("window", "count long, reset long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -47,8 +47,15 @@ class _RateLimiter(StatefulProcessor):
                 count, ok = count + 1, True
             out.append((key[0], ev, ts, reset, ok))
         self.window.update((count, reset))
+        self.handle.registerTimer(reset)
         yield pd.DataFrame(out, columns=["key", "ev_id", "ts", "window_reset_ms", "allowed"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # a window that has run out decides nothing any more
+        if self.window.exists() and self.window.get()[1] <= timerValues.getCurrentWatermarkInMs():
+            self.window.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -93,37 +100,6 @@ def watchdog_stream(job_events: DataFrame, minutes: int = K.STALE_MINUTES) -> Da
         _Watchdog(minutes * 60_000), "job_id string, status string, error_message string", "Append", "EventTime"))
 
 
-class _Settlement(StatefulProcessor):
-    def __init__(self, opening: int, rules: str):
-        self.opening, self.rules = opening, rules
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.account = handle.getValueState("account", "state string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        acc = new_account(self.opening)
-        if self.account.exists():
-            acc = json.loads(self.account.get()[0])
-            acc["charged"], acc["held"] = set(acc["charged"]), {k: tuple(v) for k, v in acc["held"].items()}
-        batch = pd.concat(list(rows)).sort_values(["ts", "ev_id"])
-        out = []
-        for ev, kind, job, amount in zip(batch.ev_id, batch.kind, batch.job_id, batch.amount):
-            outcome, cost, short = settle_event(acc, kind, job, int(amount), self.rules)
-            out.append((key[0], ev, kind, job, outcome, cost, acc["balance"], short))
-        acc["charged"] = sorted(c for c in acc["charged"] if c is not None)
-        self.account.update((json.dumps(acc),))
-        yield pd.DataFrame(out, columns=["user_id", "ev_id", "kind", "job_id", "outcome", "cost_cents", "balance_cents", "shortfall_cents"])
-
-    def close(self) -> None:
-        pass
-
-
-def settle_stream(events: DataFrame, opening_cents: int = K.SIGNUP_GRANT_CENTS, rules: str = "v041") -> DataFrame:
-    from gridmend.operators.ledger import SETTLE_SCHEMA
-    return (events.withWatermark("ts", WATERMARK).groupBy("user_id")
-            .transformWithStateInPandas(_Settlement(opening_cents, rules), SETTLE_SCHEMA, "Append", "EventTime"))
-
-
 class _Uploads(StatefulProcessor):
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
