@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmend.functions import constants as K
 from gridmend.functions import text as T
-from gridmend.functions.distributed import ordinal
+from gridmend.functions.distributed import ordinal, running_total
+from gridmend.session import checkpoint
 
 
 def line_violations(line: Column) -> Column:
@@ -43,33 +47,104 @@ def usable_rules(rules: DataFrame) -> DataFrame:
     return rules.filter((F.coalesce("original_text", F.lit("")) != "") & F.col("corrected_text").isNotNull() & ~phone)
 
 
-def apply_text_rules(docs: DataFrame, rules: DataFrame, text: str = "text", chunk: int = 2000) -> DataFrame:
+#: Characters of rules that one automaton holds; a longer rule list takes another pass over the texts.
+RULE_CHARS = 1 << 26
+#: A replacement that would leave less than this share of a text is not made.
+LEAST_LEFT = 0.7
+
+
+class RuleBook:
+    """Replacement rules in order, and an automaton that finds all rules whose pattern occurs in a text in one reading."""
+
+    def __init__(self, rules: list[tuple[str, str]]):
+        import ahocorasick
+
+        self.rules = rules
+        self.longest = max(len(p) for p, _ in rules)
+        places: dict[str, list[int]] = {}
+        for i, (pattern, _) in enumerate(rules):
+            places.setdefault(pattern, []).append(i)
+        self.finder = ahocorasick.Automaton()
+        for pattern, found in places.items():
+            self.finder.add_word(pattern, found)
+        self.finder.make_automaton()
+
+    def _occurring(self, text: str, after: int = -1) -> set[int]:
+        return {i for _, found in self.finder.iter(text) for i in found if i > after}
+
+    def apply(self, text: str, length: int) -> str:
+        """All rules one after another, on a text that was ``length`` long at first. Rules that do not occur are never looked
+        at; those that a replacement brings about lie around the places where it was made."""
+        ahead = sorted(self._occurring(text), reverse=True)
+        known = set(ahead)
+        while ahead:
+            i = ahead.pop()
+            pattern, new = self.rules[i]
+            parts = text.split(pattern)
+            if len(parts) == 1 or len(text) + (len(parts) - 1) * (len(new) - len(pattern)) < LEAST_LEFT * length:
+                continue
+            text = new.join(parts)
+            more: set[int] = set()
+            for low, high in self._around(parts, len(new)):
+                more |= self._occurring(text[low:high], i)
+            more -= known
+            if more:
+                known |= more
+                ahead = sorted([*ahead, *more], reverse=True)
+        return text
+
+    def _around(self, parts: list[str], width: int) -> Iterator[tuple[int, int]]:
+        """Spans of the new text in which a pattern can touch a replacement; overlapping ones are one."""
+        reach, at = self.longest - 1, 0
+        low = high = 0
+        for part in parts[:-1]:
+            at += len(part)
+            if at - reach > high and high:
+                yield low, high
+                low = at - reach
+            elif not high:
+                low = max(at - reach, 0)
+            at += width
+            high = at + reach
+        yield low, high
+
+
+def apply_text_rules(docs: DataFrame, rules: DataFrame, text: str = "text", chunk: int = 1_000_000) -> DataFrame:
     """Letter normalisation, then the rules one after another in order of their pattern.
 
-    A rule is skipped when the pattern is absent or the result would be under 70 % of the original length. Rules
-    are folded inside each text in chunks of ``chunk``: a chunk is one bounded array, and a longer rule list just
-    takes more passes over the texts, so no rule is dropped whatever their number.
+    A rule is skipped when the pattern is absent or the result would be under 70 % of the original length. A text is read
+    once by an automaton over all patterns, and only the rules that occur in it, or come to by a replacement, are applied:
+    neither the plan nor the work on a text grows with the rules. The rules go to the tasks as one list of at most RULE_CHARS
+    characters and ``chunk`` rules; what is beyond follows in another pass, in order.
     """
     good = usable_rules(rules).select("original_text", "corrected_text").distinct()
-    n = good.count()
     digits_from, digits_to = K.DIGITS_FROM[10:], K.DIGITS_TO[:10]
     out = docs.withColumn(text, F.translate(F.col(text), K.PERSIAN_FROM + digits_from, K.PERSIAN_TO + digits_to))
+    order, block = ["original_text", "corrected_text"], [F.substring("original_text", 1, 3)]
+    counted = ordinal(good, [], order, block, "ord")
+    counted = running_total(counted, [], block, order, F.length("original_text") + F.length("corrected_text").cast("long"), "chars")
+    part = F.struct(F.floor(F.col("ord") / chunk).alias("n"), F.floor(F.col("chars") / RULE_CHARS).alias("c"))
+    numbered = checkpoint(counted.select(*order, part.alias("part")))
+    parts = sorted(tuple(r.part) for r in numbered.select("part").distinct().collect())
+    if not parts:
+        return out
     out = out.withColumn("__len", F.length(text))
-    if n == 0:
-        return out.drop("__len")
-    numbered = ordinal(good, [], ["original_text", "corrected_text"], [F.substring("original_text", 1, 3)], "ord")
-    for i in range(-(-n // chunk)):
-        mine = numbered.filter((F.col("ord") >= i * chunk) & (F.col("ord") < (i + 1) * chunk))
-        batch = mine.agg(F.array_sort(F.collect_list(F.struct("original_text", "corrected_text"))).alias("r")).scalar()
-
-        def apply(acc, r):
-            changed = F.replace(acc, r["original_text"], r["corrected_text"])
-            return F.when(F.contains(acc, r["original_text"]) & (F.length(changed) >= F.col("__len") * 0.7), changed).otherwise(acc)
-
-        out = out.withColumn("__rules", batch).withColumn(text, F.aggregate("__rules", F.col(text), apply)).drop("__rules")
+    for n, c in parts:
+        book = sorted((r[0], r[1]) for r in numbered.filter((F.col("part.n") == n) & (F.col("part.c") == c)).select(*order).collect())
+        out = out.withColumn(text, _by_rules(docs.sparkSession.sparkContext.broadcast(book))(F.col(text), F.col("__len")))
     return out.drop("__len")
 
 
+def _by_rules(book):
+    @F.pandas_udf("string")
+    def applied(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        rules = RuleBook(book.value)
+        for texts, lengths in columns:
+            yield pd.Series([None if t is None else rules.apply(t, int(n)) for t, n in zip(texts, lengths)])
+
+    return applied
+
+
 def _clean_line(line: Column) -> Column:
     bare = F.regexp_replace(T.digits_ascii(line), "[0-9]", "")
     bare = F.regexp_replace(bare, K.LINE_GENDER, "")
