@@ -52,8 +52,8 @@ def _block_keys(c: Column, threshold: float) -> Column:
 def ratcliff_join(left: DataFrame, right: DataFrame, lcol: str, rcol: str, threshold: float, right_first: bool = False) -> DataFrame:
     """All pairs of distinct texts whose ratio(left, right) is at least the threshold, with that ratio.
 
-    ``right_first`` measures ratio(right, left). Pairs pass a length bound and the exact character-overlap bound in
-    the JVM before any Python sees them.
+    ``right_first`` measures ratio(right, left). Pairs pass a length bound, the exact character-overlap bound and a bound on
+    edits in the JVM before any Python sees them.
     """
     t = threshold
     a = left.select(F.col(lcol).alias("__a")).filter("__a <> ''").distinct()
@@ -63,7 +63,9 @@ def ratcliff_join(left: DataFrame, right: DataFrame, lcol: str, rcol: str, thres
     la, lb = F.length("__a"), F.length("__b")
     cand = ka.join(kb, "__k").filter(2 * F.least(la, lb) >= t * (la + lb) - 1e-9).select("__a", "__b").distinct()
     overlap = F.size(F.array_intersect(char_tokens(F.col("__a")), char_tokens(F.col("__b"))))
-    close = cand.filter(2 * overlap >= t * (la + lb) - 1e-9)
+    # matching blocks are a common subsequence, so what is left over bounds the edits
+    edits = F.levenshtein("__a", "__b") <= F.floor((1 - t) * (la + lb) + 1e-9)
+    close = cand.filter((2 * overlap >= t * (la + lb) - 1e-9) & edits)
     first, second = ("__b", "__a") if right_first else ("__a", "__b")
     scored = close.withColumn("ratio", ratcliff_ratio(F.col(first), F.col(second))).filter(F.col("ratio") >= t)
     return scored.select(F.col("__a").alias(lcol), F.col("__b").alias(rcol), "ratio")

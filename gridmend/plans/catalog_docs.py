@@ -12,7 +12,7 @@ from gridmend.operators import admin, layout, textdocs
 from gridmend.plans.catalog_cells import csv, dig, only
 from gridmend.plans.catalog_review import DTS, text_ts
 from gridmend.plans.registry import query
-from gridmend.plans.standins import Duck, Spark, cells, duck_cells, oracle, s, table
+from gridmend.plans.standins import Duck, Spark, ar, cells, duck_cells, oracle, s, table
 from gridmend.session import shared_folder
 from gridmend.sources import documents as D
 from gridmend.sources import sinks
@@ -275,18 +275,18 @@ def annotate_line_violations(spark, sf):
     return textdocs.annotate_line_violations(table(spark, sf, "doc_text").select("doc_id", "text"))
 
 
-RULES_SQL = "SELECT translate(lower(split_part(text, ' ', 2)), 'abcdefghijklmnopqrstuvwxyz', 'ابأديفغهىجكلمنوةقرستؤخعحئز') AS original_text, CASE WHEN item_id % 5 = 0 THEN '' ELSE 'ء' || item_id END AS corrected_text FROM benchmark"
+def rules_sql(d):
+    """A rule for every word of the benchmark items."""
+    return f"SELECT {ar('w')} AS original_text, CASE WHEN item_id % 5 = 0 THEN '' ELSE 'ء' || item_id END AS corrected_text FROM ({d.words('item_id', 'text', 'benchmark')}) t"
 
 
 @query("apply_text_rules", oracle(f"""
-, ru AS (SELECT *, row_number() OVER (ORDER BY original_text, corrected_text) AS n FROM (SELECT DISTINCT * FROM ({RULES_SQL})) WHERE original_text <> '' AND length(regexp_replace(original_text, '[^0-9]', '', 'g')) < 7),
- f AS (SELECT doc_id, translate(text, 'یکہے۰۱۲۳۴۵۶۷۸۹', 'يكهي0123456789') AS text, length(text) AS len, cast(0 as bigint) AS n FROM doc_text
-  UNION ALL SELECT doc_id, CASE WHEN contains(f.text, original_text) AND length(replace(f.text, original_text, corrected_text)) >= len * 0.7 THEN replace(f.text, original_text, corrected_text) ELSE f.text END, len, ru.n
-   FROM f JOIN ru ON ru.n = f.n + 1)
-SELECT doc_id, text FROM f WHERE n = (SELECT max(n) FROM ru)""", "doc_text", recursive=True))
+, ru AS (SELECT list({{'p': original_text, 'r': corrected_text, 'n': 0}} ORDER BY original_text, corrected_text) AS rules FROM (SELECT DISTINCT * FROM ({rules_sql(Duck)})) WHERE original_text <> '' AND length(regexp_replace(original_text, '[^0-9]', '', 'g')) < 7),
+ d AS (SELECT doc_id, translate(text, 'یکہے۰۱۲۳۴۵۶۷۸۹', 'يكهي0123456789') AS text FROM doc_text)
+SELECT doc_id, list_reduce(list_prepend({{'p': text, 'r': '', 'n': length(text)}}, rules), lambda a, b: {{'p': CASE WHEN contains(a.p, b.p) AND length(replace(a.p, b.p, b.r)) >= a.n * 0.7 THEN replace(a.p, b.p, b.r) ELSE a.p END, 'r': '', 'n': a.n}}).p AS text FROM d, ru""", "doc_text"))
 def apply_text_rules(spark, sf):
     docs = table(spark, sf, "doc_text").select("doc_id", "text")
-    return textdocs.apply_text_rules(docs, spark.sql(RULES_SQL))
+    return textdocs.apply_text_rules(docs, spark.sql(rules_sql(Spark)))
 
 
 NAME_LINES = """, l AS (SELECT doc_id, n_rows, li, trim(regexp_replace(regexp_replace({digits}, '[/\\-.()\\[\\]:،,]', ' ', 'g'), '\\s+', ' ', 'g')) AS c FROM (SELECT doc_id, doc_id % 4 + 1 AS n_rows, string_split(text, chr(10)) AS ls FROM doc_text),
@@ -309,11 +309,13 @@ def name_line_candidates(spark, sf):
     return textdocs.name_line_candidates(table(spark, sf, "doc_text"))
 
 
-NUMBERED = "'1. ' || split_part(text, ' ', 1) || chr(10) || (doc_id % 6 + 2) || ') ' || split_part(text, ' ', 2) || chr(10) || '3- فارغ' || chr(10) || 'x' || chr(10) || (doc_id % 3 + 1) || '. ' || source"
+# every line of a text gets a number, some twice, and a few lines without one follow
+NUMBERED = "array_join(transform(split(text, '\n'), (x, i) -> concat(i + 1 - int(i % 7 = 3), CASE i % 3 WHEN 0 THEN '. ' WHEN 1 THEN ') ' ELSE '- ' END, x)), '\n') || '\n3- فارغ\nx\n' || (doc_id % 3 + 1) || '. ' || source"
+NUMBERED_DUCK = "array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: (i - CASE WHEN (i - 1) % 7 = 3 THEN 1 ELSE 0 END) || CASE (i - 1) % 3 WHEN 0 THEN '. ' WHEN 1 THEN ') ' ELSE '- ' END || x), chr(10)) || chr(10) || '3- فارغ' || chr(10) || 'x' || chr(10) || (doc_id % 3 + 1) || '. ' || source"
 
 
 @query("parse_numbered_names", oracle(f"""
-, l AS (SELECT doc_id, li, trim(ln) AS t FROM (SELECT doc_id, string_split({NUMBERED}, chr(10)) AS ls FROM doc_text), LATERAL (SELECT unnest(ls) AS ln, unnest(range(1, len(ls) + 1)) AS li)),
+, l AS (SELECT doc_id, li, trim(ln) AS t FROM (SELECT doc_id, string_split({NUMBERED_DUCK}, chr(10)) AS ls FROM doc_text), LATERAL (SELECT unnest(ls) AS ln, unnest(range(1, len(ls) + 1)) AS li)),
  h AS (SELECT doc_id, li, cast(regexp_extract(t, '^([0-9]+)[.،\\-)]\\s*(.+)$', 1) as int) - 1 AS slot, trim(regexp_extract(t, '^([0-9]+)[.،\\-)]\\s*(.+)$', 2)) AS nm FROM l WHERE regexp_matches(t, '^([0-9]+)[.،\\-)]\\s*(.+)$')),
  b AS (SELECT doc_id, slot, last(CASE WHEN nm NOT IN ({csv(K.BLANK_NAME_WORDS)}) THEN nm END ORDER BY li) AS name FROM h GROUP BY ALL)
 SELECT s.doc_id, cast(s.slot as int) AS slot, b.name FROM (SELECT doc_id, unnest(range(0, max(slot) + 1)) AS slot FROM b GROUP BY doc_id) s LEFT JOIN b USING (doc_id, slot)""", "doc_text"))
@@ -331,7 +333,7 @@ def parse_key_values(spark, sf):
     return textdocs.parse_key_values(d)
 
 
-ENGINES = """SELECT doc_id, 'azure' AS engine, doc_id % 3 <> 0 AS success, substr(text, 1, 40) AS text, cast(0 as bigint) AS tables FROM doc_text
+ENGINES = """SELECT doc_id, 'azure' AS engine, doc_id % 3 <> 0 AS success, reverse(text) || ' y' AS text, cast(0 as bigint) AS tables FROM doc_text
  UNION ALL SELECT doc_id, 'vision', doc_id % 2 = 0, CASE WHEN doc_id % 12 = 0 THEN '' ELSE text END, 0 FROM doc_text
  UNION ALL SELECT doc_id, 'gemini', doc_id % 5 <> 0, text || ' x', 0 FROM doc_text UNION ALL SELECT doc_id, 'layout', true, '', doc_id % 7 FROM doc_text"""
 
@@ -343,7 +345,7 @@ SELECT doc_id, arg_min(engine, CASE engine WHEN 'azure' THEN 1 WHEN 'vision' THE
 def choose_engine(spark, sf):
     d = table(spark, sf, "doc_text")
     e = [d.select("doc_id", F.lit(n).alias("engine"), ok.alias("success"), t.alias("text"), k.cast("long").alias("tables")) for n, ok, t, k in (
-        ("azure", F.col("doc_id") % 3 != 0, F.substring("text", 1, 40), F.lit(0)), ("vision", F.col("doc_id") % 2 == 0, F.when(F.col("doc_id") % 12 == 0, "").otherwise(F.col("text")), F.lit(0)),
+        ("azure", F.col("doc_id") % 3 != 0, F.concat(F.reverse("text"), F.lit(" y")), F.lit(0)), ("vision", F.col("doc_id") % 2 == 0, F.when(F.col("doc_id") % 12 == 0, "").otherwise(F.col("text")), F.lit(0)),
         ("gemini", F.col("doc_id") % 5 != 0, F.concat("text", F.lit(" x")), F.lit(0)), ("layout", F.lit(True), F.lit(""), F.col("doc_id") % 7))]
     u = e[0].unionByName(e[1]).unionByName(e[2]).unionByName(e[3])
     return admin.choose_engine(u).withColumn("best_score", F.round("best_score", 4))

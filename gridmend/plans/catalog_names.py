@@ -304,7 +304,7 @@ def suggest_names(spark, sf):
 def _place_lexicon(spark, sf):
     seed = table(spark, sf, "places_seed")
     places = seed.select("canonical", F.xxhash64("canonical").alias("ord"))
-    variants = places.select(T.fold(F.translate("canonical", "ن", "ي"), "place").alias("variant_folded"), "canonical", "ord").filter(F.col("ord") % 2 == 0)
+    variants = places.select(T.fold(F.translate("canonical", "ن", "ي"), "place").alias("variant_folded"), "canonical", "ord")
     return places, variants.filter(F.col("variant_folded") != T.fold("canonical", "place"))
 
 
@@ -315,7 +315,7 @@ def correct_places(spark, sf):
 
 
 def _seed(spark, sf):
-    return table(spark, sf, "places_seed").select(F.col("canonical").alias("place"), F.xxhash64("canonical").alias("ord")).filter("ord % 3 <> 0")
+    return table(spark, sf, "places_seed").select(F.col("canonical").alias("place"), F.xxhash64("canonical").alias("ord"))
 
 
 @query("anchor_to_seed")
@@ -387,7 +387,7 @@ LEARN = FUZZY + f""", src AS (SELECT job_id, label AS name FROM training UNION A
  kn AS (SELECT DISTINCT {NORM.format('token')} AS norm FROM lx),
  g1 AS (SELECT token, norm, CASE WHEN NOT length(token) BETWEEN 2 AND 20 THEN 'length' WHEN length(regexp_replace(token, '[^؀-ۿ]', '', 'g')) / length(token) < 0.7 THEN 'not_arabic' WHEN regexp_matches(token, '[یکہے]') THEN 'persian'
    WHEN norm IN ({csv([w.translate(str.maketrans(K.ALEF_FROM, K.ALEF_TO)) for w in K.LEARN_NON_NAME])}) THEN 'non_name' WHEN norm IN (SELECT norm FROM kn) THEN 'known' END AS gate FROM di),
- nr AS (SELECT DISTINCT g1.norm FROM g1 JOIN kn ON gate IS NULL AND {lev('g1.norm', 'kn.norm')} <= 0.2 * greatest(length(g1.norm), length(kn.norm))),
+ nr AS (SELECT DISTINCT g1.norm FROM g1 JOIN kn ON gate IS NULL AND CASE WHEN abs(length(g1.norm) - length(kn.norm)) <= 0.2 * greatest(length(g1.norm), length(kn.norm)) THEN {lev('g1.norm', 'kn.norm')} <= 0.2 * greatest(length(g1.norm), length(kn.norm)) ELSE false END),
  gt AS (SELECT oc.*, g1.norm, CASE WHEN gate IS NOT NULL THEN gate WHEN g1.norm IN (SELECT norm FROM nr) THEN 'near' END AS gate FROM oc JOIN g1 USING (token))"""
 
 
@@ -436,8 +436,8 @@ def correction_rules(spark, sf):
 def apply_corrections(spark, sf):
     pairs = C.correction_pairs(table(spark, sf, "corrections"))
     rules = pairs.select("original_text", "corrected_text", "created_at", "id")
-    own = table(spark, sf, "corrections").filter("part_key % 7 = 0")
-    defaults = own.filter("part_key % 49 = 0").withColumn("field_name", F.lit("العنوان")).withColumn("original_value", F.lit(""))
+    own = table(spark, sf, "corrections")
+    defaults = own.withColumn("field_name", F.lit("العنوان")).withColumn("original_value", F.lit(""))
     return C.apply_corrections(cells(spark, sf, "person", "place", "phone"), rules, own.unionByName(defaults)).select("job_id", "row_idx", "field", "value", "method")
 
 

@@ -165,7 +165,7 @@ def cap_per_document(spark, sf):
 
 WAITLIST = """, waitlist AS (SELECT event_id AS id, 'mail' || (event_id % 700) || '@example.org' AS email,
   CASE WHEN event_id % 3 = 0 THEN 'Guest ' || (event_id % 700) END AS name, ts AS created_at,
-  CASE WHEN event_id % 2 = 0 THEN 'u' || user_id END AS user_id FROM events WHERE event_type = 'signup')"""
+  CASE WHEN event_id % 2 = 0 THEN 'u' || user_id END AS user_id FROM events)"""
 
 
 @query("waitlist_view", oracle(WAITLIST + """
@@ -174,7 +174,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY created_at DESC,
 LEFT JOIN (SELECT *, CASE WHEN balance_cents > 5000 THEN 'plus' END AS plan FROM profiles) p ON p.user_id = w.user_id
 WHERE rn = 1 AND (contains(lower(coalesce(p.full_name, w.name, '')), '1') OR contains(lower(w.email), '1'))""", "profiles"))
 def waitlist_view(spark, sf):
-    w = table(spark, sf, "events").filter("event_type = 'signup'").selectExpr(
+    w = table(spark, sf, "events").selectExpr(
         "event_id as id", "'mail' || (event_id % 700) || '@example.org' as email",
         "case when event_id % 3 = 0 then 'Guest ' || (event_id % 700) end as name", "ts as created_at",
         "case when event_id % 2 = 0 then 'u' || user_id end as user_id")
@@ -358,12 +358,12 @@ def mask_locked(spark, sf):
 
 
 @query("guest_quota", oracle("""
-, g AS (SELECT 'j' || event_id AS job_id, 'ip' || (user_id % 40) AS ip_hash, ts FROM events WHERE event_type = 'signup')
+, g AS (SELECT 'j' || event_id AS job_id, 'ip' || (user_id % 40) AS ip_hash, ts FROM events)
 SELECT job_id, ip_hash, ip_day, all_day, ip_day >= 2 OR all_day >= 25 AS next_denied FROM (SELECT job_id, ip_hash,
   count(*) OVER (PARTITION BY ip_hash ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS ip_day,
   count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS all_day FROM g)"""))
 def guest_quota(spark, sf):
-    g = table(spark, sf, "events").filter("event_type = 'signup'").selectExpr(
+    g = table(spark, sf, "events").selectExpr(
         "'j' || event_id as job_id", "'ip' || (user_id % 40) as ip_hash", "ts as created_at")
     return ledger.guest_quota(g)
 

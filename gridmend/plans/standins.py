@@ -20,6 +20,11 @@ SCRIPT = "ابأديفغهىجكلمنوةقرستؤخعحئز"
 class Spark:
     name = "spark"
 
+    @staticmethod
+    def words(key, text, source):
+        """(key, pos, w): every word of every text."""
+        return f"SELECT {key}, pos, w FROM {source} LATERAL VIEW posexplode(split({text}, ' ')) e AS pos, w"
+
     @staticmethod
     def add_seconds(ts, n):
         return f"timestampadd(SECOND, {n}, {ts})"
@@ -36,6 +41,10 @@ class Spark:
 class Duck:
     name = "duck"
 
+    @staticmethod
+    def words(key, text, source):
+        return f"SELECT {key}, unnest(range(len(ws))) AS pos, unnest(ws) AS w FROM (SELECT {key}, string_split({text}, ' ') AS ws FROM {source}) s"
+
     @staticmethod
     def add_seconds(ts, n):
         return f"({ts} + to_seconds({n}))"
@@ -159,8 +168,9 @@ def cells_sql(*cols: str) -> str:
 @_table("places_seed")
 def _places_seed(d):
     return f"""
-    SELECT DISTINCT {ar("split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)")} AS canonical FROM benchmark
-    WHERE split_part(text, ' ', 2) <> ''"""
+    SELECT DISTINCT {ar("w || ' ' || following")} AS canonical FROM (
+        SELECT w, lead(w) OVER (PARTITION BY item_id ORDER BY pos) AS following FROM ({d.words('item_id', 'text', 'benchmark')}) t) p
+    WHERE w <> '' AND following <> ''"""
 
 
 @_table("training")
@@ -169,7 +179,7 @@ def _training(d):
     return f"""
     SELECT 't' || {s('l.doc_id')} AS id, 'j' || d.source AS job_id, l.doc_id AS participant_index,
            'الاسم الرباعي' AS field_name,
-           {ar("split_part(d.text, ' ', 1) || ' ' || split_part(d.text, ' ', 2) || ' ' || split_part(d.text, ' ', 3)")} AS label,
+           {ar("d.text")} AS label,
            CASE WHEN l.quality = 1 AND l.toxic = 1 THEN 'approved' WHEN l.quality = 1 THEN 'verified'
                 WHEN l.toxic = 1 THEN 'rejected' ELSE 'pending' END AS status,
            {d.add_seconds(base, '(l.doc_id * 7 % 100000) * 20')} AS created_at,
