@@ -18,12 +18,16 @@ def unknown_words(texts: DataFrame, vocab: DataFrame, col: str) -> DataFrame:
 
 
 def pick_by_lexicon(pairs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """The reading with fewer unknown words, the first on ties. ``pairs``: id, a, b."""
-    both = pairs.select(F.explode(F.array("a", "b")).alias("text"))
-    u = unknown_words(both, vocab, "text")
-    j = (pairs.join(u.select(F.col("text").alias("a"), F.col("unknown").alias("ua")), "a").join(u.select(F.col("text").alias("b"), F.col("unknown").alias("ub")), "b"))
-    use_b = F.col("ub") < F.col("ua")
-    return j.select(*pairs.columns, F.when(use_b, F.col("b")).otherwise(F.col("a")).alias("pick"), (F.col("a") == F.col("b")).alias("agree"), F.least("ua", "ub").alias("unknown"))
+    """The reading with fewer unknown words, the first on ties; a blank reading loses to one that is not. ``pairs``: id, a, b.
+
+    Two blank readings do not agree; a null reading is a blank one.
+    """
+    p = pairs.withColumns({c: F.coalesce(c, F.lit("")) for c in ("a", "b")})
+    u = unknown_words(p.select(F.explode(F.array("a", "b")).alias("text")), vocab, "text")
+    j = (p.join(u.select(F.col("text").alias("a"), F.col("unknown").alias("ua")), "a").join(u.select(F.col("text").alias("b"), F.col("unknown").alias("ub")), "b"))
+    has_a, has_b = F.trim("a") != "", F.trim("b") != ""
+    use_b = has_b & (~has_a | (F.col("ub") < F.col("ua")))
+    return j.select(*pairs.columns, F.when(use_b, F.col("b")).otherwise(F.col("a")).alias("pick"), ((F.col("a") == F.col("b")) & has_a).alias("agree"), F.when(use_b, F.col("ub")).otherwise(F.col("ua")).alias("unknown"))
 
 
 def per_row_scores(picked: DataFrame) -> DataFrame:

@@ -481,14 +481,14 @@ def repair_stats(spark, sf):
 # --- evaluation -----------------------------------------------------------------------------------------------------------
 
 EV = "trim(translate({}, 'أإآٱىة', 'اااايه'))"
-EVAL = f""", ab AS (SELECT job_id || '-' || row_idx AS id, azure AS a, gemini AS b, clean_name AS truth FROM readings WHERE azure <> '' AND gemini <> ''),
+EVAL = f""", ab AS (SELECT job_id || '-' || row_idx AS id, azure AS a, gemini AS b, clean_name AS truth FROM readings),
  vf AS (SELECT DISTINCT {EV.format('token')} AS w FROM vocab),
- un AS (SELECT t, len([x for x in string_split({EV.format('t')}, ' ') if NOT list_contains(l, x)]) AS u FROM (SELECT DISTINCT a AS t FROM ab UNION SELECT DISTINCT b FROM ab), (SELECT list(w) AS l FROM vf)),
- pk AS (SELECT id, a, b, truth, CASE WHEN y.u < x.u THEN b ELSE a END AS pick, a = b AS agree, least(x.u, y.u) AS unknown FROM ab JOIN un x ON x.t = a JOIN un y ON y.t = b)"""
+ un AS (SELECT t, CASE WHEN trim(t) = '' THEN 0 ELSE len([x for x in string_split({EV.format('t')}, ' ') if NOT list_contains(l, x)]) END AS u FROM (SELECT DISTINCT a AS t FROM ab UNION SELECT DISTINCT b FROM ab), (SELECT list(w) AS l FROM vf)),
+ pk AS (SELECT id, a, b, truth, CASE WHEN trim(b) <> '' AND (trim(a) = '' OR y.u < x.u) THEN b ELSE a END AS pick, a = b AND trim(a) <> '' AS agree, CASE WHEN trim(b) <> '' AND (trim(a) = '' OR y.u < x.u) THEN y.u ELSE x.u END AS unknown FROM ab JOIN un x ON x.t = a JOIN un y ON y.t = b)"""
 
 
 def _picked(spark, sf):
-    p = table(spark, sf, "readings").filter("azure <> '' and gemini <> ''").selectExpr("job_id || '-' || row_idx as id", "azure as a", "gemini as b", "clean_name as truth")
+    p = table(spark, sf, "readings").selectExpr("job_id || '-' || row_idx as id", "azure as a", "gemini as b", "clean_name as truth")
     return evaluate.pick_by_lexicon(p, table(spark, sf, "vocab"))
 
 
