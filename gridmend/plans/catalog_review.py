@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridmend.operators import admin, labels, ledger
+from gridmend.operators import admin, labels, ledger, search
 from gridmend.plans.registry import query
 from gridmend.plans.standins import Duck, Spark, oracle, table
 
@@ -242,6 +242,39 @@ def search_users(spark, sf):
     return admin.page_of(hits, [F.desc("created_at"), "user_id"], 1, 20).select("user_id", "email")
 
 
+def _document_index(spark, sf):
+    return search.build_index(table(spark, sf, "jobs").select("job_id", "user_id", "document_name", "status", "created_at"), ["document_name"], "job_id")
+
+
+@query("search_documents_indexed", oracle("""
+SELECT job_id, user_id, document_name FROM jobs WHERE document_name ILIKE '%SHEET 1%' AND status = 'completed'
+ AND created_at >= timestamp '1996-01-01' AND created_at <= timestamp '2000-01-01'""", "jobs"))
+def search_documents_indexed(spark, sf):
+    root = _document_index(spark, sf)
+    return search.search_index(spark, root, ["document_name"], "SHEET 1", {"status": "completed"}, start=ts("1996-01-01 00:00:00"), end=ts("2000-01-01 00:00:00")).select("job_id", "user_id", "document_name")
+
+
+AUDIT_LOG = """SELECT event_id AS id, 'u' || user_id AS actor_id, 'training.' || event_type || '_' || (event_id % 37) AS action,
+ CASE WHEN event_id % 3 = 0 THEN 'training' ELSE 'document' END AS target_type, ts AS created_at FROM events"""
+
+
+@query("search_audit_log", oracle(f""", au AS ({AUDIT_LOG})
+SELECT id, actor_id, action FROM au WHERE action ILIKE '%CHASE_1%' AND target_type = 'training' AND created_at >= timestamp '2024-01-05' ORDER BY created_at DESC, id LIMIT 100 OFFSET 0"""))
+def search_audit_log(spark, sf):
+    """The first page of the log: a part of the action, the target type and a time from which on."""
+    table(spark, sf, "events")
+    root = search.build_index(spark.sql(AUDIT_LOG), ["action"], "id")
+    hits = search.search_index(spark, root, ["action"], "CHASE_1", {"target_type": "training"}, start=ts("2024-01-05 00:00:00"))
+    return admin.page_of(hits, [F.desc("created_at"), "id"], 1, 100).select("id", "actor_id", "action")
+
+
+@query("search_audit_log_total", oracle(f""", au AS ({AUDIT_LOG}) SELECT count(*) AS total FROM au WHERE action ILIKE '%CHASE_1%' AND target_type = 'training' AND created_at >= timestamp '2024-01-05'"""))
+def search_audit_log_total(spark, sf):
+    table(spark, sf, "events")
+    root = search.build_index(spark.sql(AUDIT_LOG), ["action"], "id")
+    return admin.total_of(search.search_index(spark, root, ["action"], "CHASE_1", {"target_type": "training"}, start=ts("2024-01-05 00:00:00")))
+
+
 @query("owner_view", oracle("SELECT job_id, document_name, status FROM jobs WHERE user_id = 'u7'", "jobs"))
 def owner_view(spark, sf):
     mine = admin.owner_filter(table(spark, sf, "jobs"), "u7")
