@@ -313,24 +313,40 @@ def in_bins(df: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column) -> Da
     return df.withColumn("bx", F.explode(span(x0, x1, "bw"))).withColumn("by", F.explode(span(y0, y1, "bh")))
 
 
+def on_levels(df: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column) -> DataFrame:
+    """One row per bin the box touches on the level of its size: on level n steps are 2**n as long, and a box lies on the
+    first one whose steps are as long as its sides. So it touches two bins a side, however large it is."""
+    size = F.greatest((x1 - x0) / F.col("bw"), (y1 - y0) / F.col("bh"), F.lit(1.0))
+    placed = df.withColumn("lvl", F.ceil(F.log2(size) - 1e-9).cast("int"))
+    scale = F.pow(F.lit(2.0), F.col("lvl"))
+
+    def span(lo, hi, step):
+        return F.sequence(F.floor(lo / (F.col(step) * scale)).cast("long"), F.floor(hi / (F.col(step) * scale)).cast("long"))
+    return placed.withColumn("bx", F.explode(span(x0, x1, "bw"))).withColumn("by", F.explode(span(y0, y1, "bh")))
+
+
 def assign_words_to_cells(words: DataFrame, cells: DataFrame, scale: DataFrame | None = None, margin: float = 0.04) -> DataFrame:
     """Cell text per engine: words whose centre falls in the cell, each word in the first such cell of the cell list.
 
-    A range join: cells are spread over the grid bins they touch and words meet them on (job, page, bin), so even a
-    page with very many cells is cut into many small groups. ``scale``: job_id, engine, page, sx, sy.
+    A range join: a cell lies in the few bins it touches on the level of its size, and a word looks once on every level
+    that the page has, so words and cells meet on (job, page, level, bin): a page with very many cells is cut into many
+    small groups, and a page-wide cell is a handful of rows. ``scale``: job_id, engine, page, sx, sy.
     """
     boxes = cells.filter(F.size("polygon") >= 6).select("job_id", "page", "cell_ord", "r", "c", *bbox(F.col("polygon")))
     steps = bin_sizes(boxes, ["job_id", "page"])
     m = F.lit(margin)
-    binned = in_bins(boxes.join(steps, ["job_id", "page"]), F.col("x0") - m, F.col("x1") + m, F.col("y0") - m, F.col("y1") + m)
+    binned = on_levels(boxes.join(steps, ["job_id", "page"]), F.col("x0") - m, F.col("x1") + m, F.col("y0") - m, F.col("y1") + m)
+    levels = binned.groupBy("job_id", "page").agg(F.collect_set("lvl").alias("lvls"))  # some dozens at most
     w = words.filter((F.size("polygon") >= 4) & (F.trim("content") != "")).select(
         "job_id", "engine", "page", "word_idx", F.trim("content").alias("content"), mean(xs(F.col("polygon"))).alias("cx"), mean(ys(F.col("polygon"))).alias("cy"))
     if scale is not None:
         w = (w.join(scale, ["job_id", "engine", "page"], "left").withColumn("cx", F.col("cx") * F.coalesce("sx", F.lit(1.0)))
              .withColumn("cy", F.col("cy") * F.coalesce("sy", F.lit(1.0))).drop("sx", "sy"))
-    w = (w.join(steps, ["job_id", "page"]).withColumn("bx", F.floor(F.col("cx") / F.col("bw")).cast("long"))
-         .withColumn("by", F.floor(F.col("cy") / F.col("bh")).cast("long")).drop("bw", "bh"))
-    hit = (w.join(binned.drop("bw", "bh"), ["job_id", "page", "bx", "by"])
+    scaled = F.pow(F.lit(2.0), F.col("lvl"))
+    w = (w.join(steps.join(levels, ["job_id", "page"]), ["job_id", "page"]).withColumn("lvl", F.explode("lvls"))
+         .withColumn("bx", F.floor(F.col("cx") / (F.col("bw") * scaled)).cast("long"))
+         .withColumn("by", F.floor(F.col("cy") / (F.col("bh") * scaled)).cast("long")).drop("bw", "bh", "lvls"))
+    hit = (w.join(binned.drop("bw", "bh"), ["job_id", "page", "lvl", "bx", "by"])
            .filter(F.col("cx").between(F.col("x0") - m, F.col("x1") + m) & F.col("cy").between(F.col("y0") - m, F.col("y1") + m)))
     owner = hit.groupBy("job_id", "engine", "page", "word_idx").agg(F.min_by(F.struct("r", "c", "cell_ord", "content"), "cell_ord").alias("o"))
     # the text of a cell is one value, so its words are gathered by definition

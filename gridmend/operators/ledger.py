@@ -181,12 +181,12 @@ def settle(events: DataFrame, opening_cents: int = K.SIGNUP_GRANT_CENTS, rules:
     """
     if rules not in RULES:
         raise ValueError(f"unknown rule set {rules}")
-    own = checkpoint(events.select("user_id", "ev_id", "ts", "kind", "job_id", F.coalesce(F.col("amount"), F.lit(0)).cast("long").alias("amount")))
+    own = events.select("user_id", "ev_id", "ts", "kind", "job_id", F.coalesce(F.col("amount"), F.lit(0)).cast("long").alias("amount"))
     long_ones = checkpoint(own.groupBy("user_id").agg(F.count("*").alias("n")).filter(F.col("n") > settlement.SETTLE_BLOCK).select(F.col("user_id").alias("__u")))
-    mine = F.col("user_id").eqNullSafe(F.col("__u"))
-    few = _settle_streams(own.join(long_ones, mine, "left_anti"), opening_cents, rules)
     if long_ones.isEmpty():
-        return few
+        return _settle_streams(own, opening_cents, rules)
+    own, mine = checkpoint(own), F.col("user_id").eqNullSafe(F.col("__u"))
+    few = _settle_streams(own.join(long_ones, mine, "left_anti"), opening_cents, rules)
     return few.unionByName(settlement.settle_blocks(own.join(long_ones, mine, "left_semi"), opening_cents, rules))
 
 
