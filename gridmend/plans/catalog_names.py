@@ -419,6 +419,14 @@ def candidate_status(spark, sf):
     return learning.candidate_status(_cands(spark, sf))
 
 
+@query("reject_candidate", oracle(FUZZY + f""", cd AS ({CAND.format(s='lx')}) SELECT normalized, CASE WHEN normalized = (SELECT min(token) FROM lx WHERE {NORM.format('token')} = token) THEN 'rejected' ELSE status END AS status, promoted FROM cd"""))
+def reject_candidate(spark, sf):
+    """The first candidate by its spelling is turned down."""
+    c = _cands(spark, sf)
+    name = c.filter(T.fold("normalized", "letter") == F.col("normalized")).agg(F.min("normalized")).first()[0]
+    return learning.reject_candidate(c, name).select("normalized", "status", "promoted")
+
+
 PAIR_SQL = f""", cu AS (SELECT id, created_at, original_value AS o, corrected_value AS c FROM corrections WHERE original_value <> '' AND original_value <> corrected_value AND NOT (length(regexp_replace(original_value, '[^0-9]', '', 'g')) >= 7
    AND length(regexp_replace(original_value, '[^0-9]', '', 'g')) / length(original_value) >= 0.6)),
  ct AS (SELECT *, string_split(trim(o), ' ') AS ot, string_split(trim(c), ' ') AS cc FROM cu),
@@ -452,6 +460,15 @@ def guarded_writeback(spark, sf):
     return C.guarded_writeback(cells(spark, sf, "phone"), p).select("job_id", "row_idx", "verdict")
 
 
+@query("apply_writeback", oracle(f""", p AS ({PROPOSALS.format(r='form_rows')}), x AS (SELECT p.*, nullif(phone, '') AS cur, {only("coalesce(phone, '')")} AS a, {only("coalesce(source_text, '')")} AS b FROM p JOIN form_rows USING (job_id, row_idx))
+SELECT job_id, row_idx, CASE WHEN new_value <> '' AND NOT (a <> '' AND b <> '' AND a <> b) AND cur IS DISTINCT FROM new_value THEN new_value ELSE cur END AS value FROM x""", "form_rows"))
+def apply_writeback(spark, sf):
+    table(spark, sf, "form_rows").createOrReplaceTempView("gm_form_rows")
+    p = spark.sql(PROPOSALS.format(r="gm_form_rows")).withColumn("field", F.lit("رقم الهاتف")).withColumn("kind", F.lit("digits"))
+    c = cells(spark, sf, "phone")
+    return C.apply_writeback(c, C.guarded_writeback(c, p)).select("job_id", "row_idx", "value")
+
+
 REPLY = "CASE WHEN row_idx % 5 = 0 THEN NULL WHEN row_idx % 5 = 1 THEN 'UNREADABLE' WHEN field = 'رقم الهاتف' THEN '059-123 4567' WHEN field = 'رقم الهوية' THEN CASE WHEN row_idx % 5 = 2 THEN '12345678' ELSE '123456789' END ELSE CASE WHEN row_idx % 5 = 2 THEN '1/2/55' ELSE '2001/2/3' END END"
 
 
