@@ -280,7 +280,8 @@ def _order(names):
 
 def ctes(names, dialect) -> str:
     """``name AS (...)`` items for the named tables and what they build on."""
-    return ",\n".join(f"{n} AS ({_TABLES[n][1](dialect)})" for n in _order(names))
+    kept = " MATERIALIZED" if dialect is Duck else ""
+    return ",\n".join(f"{n} AS{kept} ({_TABLES[n][1](dialect)})" for n in _order(names))
 
 
 _REGISTERED: dict[str, str] = {}
