@@ -57,10 +57,14 @@ def lexical(pages: DataFrame) -> DataFrame:
 
 
 def suffix_rates(labelled: DataFrame) -> tuple[DataFrame, float]:
-    """Share of blocked URLs per host suffix, shrunk towards the overall share by twenty observations; the overall share."""
+    """Share of blocked URLs per host suffix, shrunk towards the overall share by twenty observations; the overall share.
+
+    A suffix whose labels are all alike has the overall share: they say which rule it fell under, not what blocked URLs
+    look like, and the trees would learn nothing else.
+    """
     overall = labelled.agg(F.avg("label").alias("r")).first().r
     overall = 0.5 if overall is None else overall
-    per = labelled.groupBy(F.col("suffix").alias("s")).agg(F.sum("label").alias("b"), F.count(F.lit(1)).alias("n"))
+    per = labelled.groupBy(F.col("suffix").alias("s")).agg(F.sum("label").alias("b"), F.count(F.lit(1)).alias("n")).where("b > 0 AND b < n")
     return saved(per.select("s", ((F.col("b") + 20 * overall) / (F.col("n") + 20)).alias("rate"))), overall
 
 
@@ -71,12 +75,14 @@ def with_rate(pages: DataFrame, rates: tuple[DataFrame, float]) -> DataFrame:
 
 
 def train(labelled: DataFrame) -> tuple[Trees, tuple[DataFrame, float]]:
-    """Trees and suffix rates from lexical rows with ``label``; hosts are split, so held-out hosts are new to both."""
-    rows = saved(bounded(labelled, SAMPLE, F.col("u")))
+    """Trees and suffix rates from lexical rows with ``label``; hosts are split, so held-out hosts are new to both.
+
+    The rates are a statistic of all labelled rows of one fifth of the hosts; the trees see SAMPLE rows of the others.
+    """
     part = F.pmod(F.xxhash64("host"), F.lit(5))
-    rates = suffix_rates(rows.where(part == 1))
-    ready = with_rate(rows.where(part != 1), rates)
-    return fit(ready.select(*FEATURES, "label", (F.pmod(F.xxhash64("host"), F.lit(5)) == 0).alias("held_out")), FEATURES, trees=10, precision=None), rates
+    rates = suffix_rates(labelled.where(part == 1))
+    ready = with_rate(saved(bounded(labelled.where(part != 1), SAMPLE, F.col("u"))), rates)
+    return fit(ready.select(*FEATURES, "label", (part == 0).alias("held_out")), FEATURES, trees=10, precision=None), rates
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
