@@ -23,49 +23,52 @@ def ratcliff_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("ratio", ratcliff_ratio(F.col(a), F.col(b)))
 
 
-def char_tokens(c: Column) -> Column:
-    """Characters numbered by occurrence, so that set overlap equals multiset overlap: aab -> a1, a2, b1."""
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    return F.transform(chars, lambda x, i: F.concat(x, F.size(F.filter(F.slice(chars, 1, i + 1), lambda y: y == x)).cast("string")))
-
-
-def _block_keys(c: Column, threshold: float) -> Column:
-    """Keys of which two texts share one whenever their matching share can reach the threshold.
+def _keyed(texts: DataFrame, col: str, threshold: float, bits: str) -> DataFrame:
+    """(text, ``bits``, __k): keys of which two texts share one whenever their matching share can reach the threshold.
 
     A ratio of t needs at least ceil(t(la+lb)/2) common characters. With the characters of every text in one global
     order, texts sharing that many must share two among their first la - need + 2 characters, where need is taken at
     the shortest partner allowed. The keys are those pairs. Texts so short that one common character is enough have
     their single characters as further keys.
+
+    ``bits`` are 64, one set for every numbered character: bits that only one of two texts has count characters that it
+    does not share. Every array is a column of its own, so that no lambda makes another one anew for each of its elements.
     """
-    toks = char_tokens(c)
+    c = texts.withColumn("__c", F.filter(F.split(col, ""), lambda x: x != ""))
+    c = c.withColumn("__t", F.transform("__c", lambda x, i: F.concat(x, F.size(F.filter(F.slice("__c", 1, i + 1), lambda y: y == x)).cast("string"))))
     # later occurrences are rarer than first ones, the rest of the order is an arbitrary but fixed hash
-    ranked = F.transform(F.array_sort(F.transform(toks, lambda t: F.struct((-F.substring(t, 2, 9).cast("int")).alias("o"), F.xxhash64(t).alias("h")))), lambda s: s["h"])
-    n = F.size(ranked)
+    ranked = F.transform(F.array_sort(F.transform("__t", lambda t: F.struct((-F.substring(t, 2, 9).cast("int")).alias("o"), F.xxhash64(t).alias("h")))), lambda s: s["h"])
+    one = F.lit(1).cast("long")
+    marks = F.aggregate("__t", F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(F.call_function("shiftleft", one, F.pmod(F.xxhash64(t), F.lit(64)).cast("int"))))
+    n = F.size("__r")
     shortest = F.ceil(n * threshold / (2 - threshold) - 1e-9)
-    need = F.ceil(F.lit(threshold) * (n + shortest) / 2 - 1e-9)
-    prefix = F.slice(ranked, 1, F.greatest(F.least(n, n - need + 2), F.lit(1)).cast("int"))
-    size = F.size(prefix)
-    pairs = F.flatten(F.transform(prefix, lambda x, i: F.transform(F.slice(prefix, i + 2, size), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
-    return F.when(need <= 1, F.array_union(pairs, ranked)).otherwise(F.array_distinct(pairs))
+    c = c.withColumn("__r", ranked).withColumn(bits, marks).withColumn("__need", F.ceil(F.lit(threshold) * (n + shortest) / 2 - 1e-9))
+    c = c.withColumn("__p", F.slice("__r", 1, F.greatest(F.least(n, n - F.col("__need") + 2), F.lit(1)).cast("int")))
+    pairs = F.flatten(F.transform("__p", lambda x, i: F.transform(F.slice("__p", i + 2, F.size("__p")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
+    c = c.withColumn("__q", pairs)
+    return c.select(col, bits, F.explode(F.when(F.col("__need") <= 1, F.array_union("__q", "__r")).otherwise(F.array_distinct("__q"))).alias("__k"))
 
 
 def ratcliff_join(left: DataFrame, right: DataFrame, lcol: str, rcol: str, threshold: float, right_first: bool = False) -> DataFrame:
     """All pairs of distinct texts whose ratio(left, right) is at least the threshold, with that ratio.
 
-    ``right_first`` measures ratio(right, left). Pairs pass a length bound, the exact character-overlap bound and a bound on
-    edits in the JVM before any Python sees them.
+    ``right_first`` measures ratio(right, left). Pairs pass a length bound, a bound on common characters and a bound on edits in
+    the JVM before any Python sees them. The optimizer moves these tests into the join, where they meet every pair once per
+    shared key, so each is cheap: character bits are made once per text, and the edit distance is native.
     """
     t = threshold
-    a = left.select(F.col(lcol).alias("__a")).filter("__a <> ''").distinct()
-    b = right.select(F.col(rcol).alias("__b")).filter("__b <> ''").distinct()
-    ka = a.select("__a", F.explode(_block_keys(F.col("__a"), t)).alias("__k"))
-    kb = b.select("__b", F.explode(_block_keys(F.col("__b"), t)).alias("__k"))
-    la, lb = F.length("__a"), F.length("__b")
-    cand = ka.join(kb, "__k").filter(2 * F.least(la, lb) >= t * (la + lb) - 1e-9).select("__a", "__b").distinct()
-    overlap = F.size(F.array_intersect(char_tokens(F.col("__a")), char_tokens(F.col("__b"))))
+    # few bytes but much work: a fixed number of tasks, which adaptive execution does not merge into one
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = left.select(F.col(lcol).alias("__a")).filter("__a <> ''").distinct().repartition(tasks, "__a")
+    b = right.select(F.col(rcol).alias("__b")).filter("__b <> ''").distinct().repartition(tasks, "__b")
+    ka, kb = _keyed(a, "__a", t, "__ma"), _keyed(b, "__b", t, "__mb")
+    la, lb, ma, mb = F.length("__a"), F.length("__b"), F.col("__ma"), F.col("__mb")
+    both = ma.bitwiseAND(mb)
+    # characters of one text only, at least so many; what is left bounds the common ones
+    common = F.least(la - F.bit_count(ma.bitwiseXOR(both)), lb - F.bit_count(mb.bitwiseXOR(both)))
     # matching blocks are a common subsequence, so what is left over bounds the edits
     edits = F.levenshtein("__a", "__b") <= F.floor((1 - t) * (la + lb) + 1e-9)
-    close = cand.filter((2 * overlap >= t * (la + lb) - 1e-9) & edits)
+    close = ka.join(kb, "__k").filter((2 * common >= t * (la + lb) - 1e-9) & edits).select("__a", "__b").distinct().repartition(tasks, "__a", "__b")
     first, second = ("__b", "__a") if right_first else ("__a", "__b")
     scored = close.withColumn("ratio", ratcliff_ratio(F.col(first), F.col(second))).filter(F.col("ratio") >= t)
     return scored.select(F.col("__a").alias(lcol), F.col("__b").alias(rcol), "ratio")
