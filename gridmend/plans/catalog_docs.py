@@ -12,7 +12,7 @@ from gridmend.operators import admin, layout, textdocs
 from gridmend.plans.catalog_cells import csv, dig, only
 from gridmend.plans.catalog_review import DTS, text_ts
 from gridmend.plans.registry import query
-from gridmend.plans.standins import Duck, Spark, ar, cells, duck_cells, oracle, s, table
+from gridmend.plans.standins import Duck, Spark, ar, cells, duck_cells, oracle, own_rows, row_of, s, table
 from gridmend.session import shared_folder
 from gridmend.sources import documents as D
 from gridmend.sources import sinks
@@ -85,7 +85,7 @@ def explode_words(spark, sf):
 
 @query("page_confidence", oracle(WORDS_CTE + " SELECT job_id, page, round(avg(confidence), 3) AS confidence FROM w GROUP BY ALL", "form_rows"))
 def page_confidence(spark, sf):
-    return D.explode_words(_words_json(spark, sf))[1].select("job_id", "page", F.round("confidence", 3).alias("confidence"))
+    return D.explode_words(_words_json(spark, sf), digits=3)[1].select("job_id", "page", "confidence")
 
 
 PIPE_CTE = """, p AS (SELECT doc_id, ri - 1 AS row_idx, trim(l) AS line FROM (SELECT doc_id, [x for x in string_split(text, chr(10)) if contains(x, '|')] AS ls FROM doc_text), LATERAL (SELECT unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS ri))"""
@@ -149,8 +149,8 @@ def export_lines(spark, sf):
 @query("export_form_table", oracle("""
 SELECT job_id, row_idx, person AS name, nullif(phone, '') AS phone, dob, nullif(gender, '') AS gender FROM form_rows""", "form_rows"))
 def export_form_table(spark, sf):
-    w = sinks.export_form_table(cells(spark, sf, "person", "phone", "dob", "gender"), ["الاسم الرباعي", "رقم الهاتف", "تاريخ الميلاد", "الجنس"])
-    return w.select("job_id", "row_idx", F.col("الاسم الرباعي").alias("name"), F.col("رقم الهاتف").alias("phone"), F.col("تاريخ الميلاد").alias("dob"), F.col("الجنس").alias("gender"))
+    w = sinks.export_form_table(cells(spark, sf, "person", "phone", "dob", "gender", rows=own_rows(spark, sf)), ["الاسم الرباعي", "رقم الهاتف", "تاريخ الميلاد", "الجنس"])
+    return row_of(w).select("job_id", "row_idx", F.col("الاسم الرباعي").alias("name"), F.col("رقم الهاتف").alias("phone"), F.col("تاريخ الميلاد").alias("dob"), F.col("الجنس").alias("gender"))
 
 
 @query("column_order", oracle("""
@@ -461,7 +461,7 @@ def reading_order(spark, sf):
 @query("renumber_sequence", oracle("""
 SELECT job_id, row_idx, '#' AS field, cast(row_number() OVER (PARTITION BY job_id ORDER BY row_idx) as varchar) AS value FROM form_rows UNION ALL SELECT job_id, row_idx, 'الاسم الرباعي', person FROM form_rows""", "form_rows"))
 def renumber_sequence(spark, sf):
-    return layout.renumber_sequence(cells(spark, sf, "serial", "person")).select("job_id", "row_idx", "field", "value")
+    return row_of(layout.renumber_sequence(cells(spark, sf, "serial", "person", rows=own_rows(spark, sf)))).select("job_id", "row_idx", "field", "value")
 
 
 @query("sort_by_row_number", oracle("""
@@ -475,10 +475,10 @@ def sort_by_row_number(spark, sf):
 SELECT job_id, row_idx, 'رقم الهاتف المحمول' AS field, coalesce(nullif(phone, ''), 'b' || supp_key) AS value FROM form_rows UNION ALL SELECT job_id, row_idx, 'تاريخ الموافقة', dob FROM form_rows
 UNION ALL SELECT job_id, row_idx, 'الموافقة على البرنامج', nullif(approval, '') FROM form_rows""", "form_rows"))
 def merge_duplicate_columns(spark, sf):
-    r = table(spark, sf, "form_rows")
+    r = own_rows(spark, sf)
     heads = [("رقم الهاتف المحمول", "nullif(phone, '')"), ("هاتف", "'b' || supp_key"), ("تاريخ الموافقة", "dob"), ("الموافقة على البرنامج", "nullif(approval, '')")]
     c = r.select("job_id", "row_idx", F.inline(F.array(*[F.struct(F.lit(h).alias("field"), F.lit(i).alias("col_idx"), F.expr(e).alias("value")) for i, (h, e) in enumerate(heads)])))
-    return layout.merge_duplicate_columns(c).select("job_id", "row_idx", "field", "value")
+    return row_of(layout.merge_duplicate_columns(c)).select("job_id", "row_idx", "field", "value")
 
 
 @query("order_columns_by_text", oracle("""
@@ -507,9 +507,10 @@ def fill_column_down(spark, sf):
 @query("diff_edits", oracle("""
 SELECT job_id, row_idx, 'الاسم الرباعي' AS field, person AS original_value, clean_name AS corrected_value FROM form_rows WHERE person IS DISTINCT FROM clean_name""", "form_rows"))
 def diff_edits(spark, sf):
-    a = cells(spark, sf, "person")
-    b = table(spark, sf, "form_rows").select("job_id", "row_idx", F.lit("الاسم الرباعي").alias("field"), F.col("clean_name").alias("value"))
-    return layout.diff_edits(a, b)
+    r = own_rows(spark, sf)
+    a = cells(spark, sf, "person", rows=r)
+    b = r.select("job_id", "row_idx", F.lit("الاسم الرباعي").alias("field"), F.col("clean_name").alias("value"))
+    return row_of(layout.diff_edits(a, b))
 
 
 def _words(spark, sf):

@@ -50,8 +50,11 @@ def style_spans(docs: DataFrame) -> DataFrame:
     return st.select("job_id", F.inline("s.spans")).select("job_id", F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"))
 
 
-def explode_words(docs: DataFrame, unsure_below: float = 0.80) -> tuple[DataFrame, DataFrame]:
-    """(words, pages). Unsure words carry a marker; a page's confidence is the mean over its words, rounded to 4."""
+def explode_words(docs: DataFrame, unsure_below: float = 0.80, digits: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(words, pages). Unsure words carry a marker; a page's confidence is the mean over its words, rounded to ``digits``.
+
+    A page that comes in several records is one page with the words of all.
+    """
     pages = docs.select("job_id", "engine", F.explode("pages").alias("p"))
     conf = F.coalesce("w.confidence", F.lit(1.0))
     text = F.trim(F.coalesce("w.content", F.lit("")))
@@ -59,9 +62,12 @@ def explode_words(docs: DataFrame, unsure_below: float = 0.80) -> tuple[DataFram
         "job_id", "engine", "page", "word_idx", text.alias("content"), F.round(conf, 4).alias("confidence"), F.col("w.polygon").alias("polygon"),
         F.when(conf < unsure_below, F.concat(text, F.lit("[?]"))).otherwise(text).alias("annotated"))
     confs = F.transform("p.words", lambda w: F.round(F.coalesce(w["confidence"], F.lit(1.0)), 4))
-    mean = F.aggregate(confs, F.lit(0.0), lambda a, x: a + x) / F.size(confs)
-    page_rows = pages.select("job_id", "engine", F.col("p.page").alias("page"), F.col("p.width").alias("width"), F.col("p.height").alias("height"),
-                             F.when(F.size(confs) > 0, F.round(mean, 4)).otherwise(F.lit(0.0)).alias("confidence"))
+    one = pages.select("job_id", "engine", F.col("p.page").alias("page"), F.col("p.width").alias("width"), F.col("p.height").alias("height"),
+                       F.aggregate(confs, F.lit(0.0), lambda a, x: a + x).alias("s"), F.when(F.size(confs) > 0, F.size(confs)).otherwise(0).alias("n"))
+    whole = one.groupBy("job_id", "engine", "page").agg(F.max("width").alias("width"), F.max("height").alias("height"), F.sum("s").alias("s"), F.sum("n").alias("n"))
+    # the inner rounding takes off what binary sums leave, the outer one is the only one that shows
+    page_rows = whole.select("job_id", "engine", "page", "width", "height",
+                             F.when(F.col("n") > 0, F.round(F.round(F.col("s") / F.col("n"), 10), digits)).otherwise(F.lit(0.0)).alias("confidence"))
     return words, page_rows
 
 
