@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -54,59 +55,75 @@ LEAST_LEFT = 0.7
 
 
 class RuleBook:
-    """Replacement rules in order, and an automaton that finds all rules whose pattern occurs in a text in one reading."""
+    """Replacement rules in order of their pattern, and an automaton that finds all patterns that occur in a text in one reading."""
 
     def __init__(self, rules: list[tuple[str, str]]):
         import ahocorasick
 
-        self.rules = rules
-        self.longest = max(len(p) for p, _ in rules)
-        places: dict[str, list[int]] = {}
-        for i, (pattern, _) in enumerate(rules):
-            places.setdefault(pattern, []).append(i)
+        by_pattern: dict[str, list[str]] = {}
+        for pattern, new in sorted(rules):
+            by_pattern.setdefault(pattern, []).append(new)
+        self.rules = list(by_pattern.items())
+        self.longest = max(map(len, by_pattern))
+        self.plain = re.compile("[" + re.escape("".join(sorted(set().union(*by_pattern)))) + "]+")
         self.finder = ahocorasick.Automaton()
-        for pattern, found in places.items():
-            self.finder.add_word(pattern, found)
+        for i, pattern in enumerate(by_pattern):
+            self.finder.add_word(pattern, i)
         self.finder.make_automaton()
 
-    def _occurring(self, text: str, after: int = -1) -> set[int]:
-        return {i for _, found in self.finder.iter(text) for i in found if i > after}
+    def _occurring(self, text: str) -> set[int]:
+        return {i for _, i in self.finder.iter(text)}
 
     def apply(self, text: str, length: int) -> str:
-        """All rules one after another, on a text that was ``length`` long at first. Rules that do not occur are never looked
-        at; those that a replacement brings about lie around the places where it was made."""
+        """All rules one after another, on a text that was ``length`` long at first. Patterns that do not occur are never looked
+        at; those that a replacement brings about lie around the places where it was made. The rules of one pattern follow
+        each other, so once the pattern is gone the rest of them are passed over together."""
         ahead = sorted(self._occurring(text), reverse=True)
         known = set(ahead)
         while ahead:
             i = ahead.pop()
-            pattern, new = self.rules[i]
-            parts = text.split(pattern)
-            if len(parts) == 1 or len(text) + (len(parts) - 1) * (len(new) - len(pattern)) < LEAST_LEFT * length:
-                continue
-            text = new.join(parts)
-            more: set[int] = set()
-            for low, high in self._around(parts, len(new)):
-                more |= self._occurring(text[low:high], i)
-            more -= known
+            pattern, replacements = self.rules[i]
+            parts, more = text.split(pattern), set()
+            for new in replacements:
+                if len(parts) == 1:
+                    break
+                if len(text) + (len(parts) - 1) * (len(new) - len(pattern)) < LEAST_LEFT * length:
+                    continue
+                text = new.join(parts)
+                made: set[int] = set()
+                for low, high in self._around(parts, new):
+                    made |= self._occurring(text[low:high])
+                more |= made
+                if i not in made:
+                    break
+                parts = text.split(pattern)
+            more = {j for j in more - known if j > i}
             if more:
                 known |= more
                 ahead = sorted([*ahead, *more], reverse=True)
         return text
 
-    def _around(self, parts: list[str], width: int) -> Iterator[tuple[int, int]]:
-        """Spans of the new text in which a pattern can touch a replacement; overlapping ones are one."""
-        reach, at = self.longest - 1, 0
+    def _around(self, parts: list[str], new: str) -> Iterator[tuple[int, int]]:
+        """Spans of the new text in which a pattern can touch a replacement; overlapping ones are one. No pattern reaches over
+        a character that is in no pattern, so only the runs of other characters in the replacement are looked at."""
+        runs = [(m.start(), m.end()) for m in self.plain.finditer(new)] if new else [(0, 0)]
+        reach, width, at = self.longest - 1, len(new), 0
+        # What touches a run after such a character starts inside it: a pattern there, or one that goes on with its end.
+        runs = [(a - reach if a == 0 else a, b + reach if b == width else b) for a, b in runs
+                if a == 0 or any(True for _ in self.finder.iter(new[a:b])) or b == width and any(self.finder.match(new[k:]) for k in range(a, b))]
         low = high = 0
-        for part in parts[:-1]:
+        for part in parts[:-1] if runs else ():
             at += len(part)
-            if at - reach > high and high:
-                yield low, high
-                low = at - reach
-            elif not high:
-                low = max(at - reach, 0)
+            for a, b in runs:
+                if at + a > high and high:
+                    yield low, high
+                    low = at + a
+                elif not high:
+                    low = max(at + a, 0)
+                high = max(high, at + b)
             at += width
-            high = at + reach
-        yield low, high
+        if runs:
+            yield low, high
 
 
 def apply_text_rules(docs: DataFrame, rules: DataFrame, text: str = "text", chunk: int = 1_000_000) -> DataFrame:
@@ -115,7 +132,8 @@ def apply_text_rules(docs: DataFrame, rules: DataFrame, text: str = "text", chun
     A rule is skipped when the pattern is absent or the result would be under 70 % of the original length. A text is read
     once by an automaton over all patterns, and only the rules that occur in it, or come to by a replacement, are applied:
     neither the plan nor the work on a text grows with the rules. The rules go to the tasks as one list of at most RULE_CHARS
-    characters and ``chunk`` rules; what is beyond follows in another pass, in order.
+    characters and ``chunk`` rules; what is beyond follows in another pass, in order. The texts are dealt out by their place
+    in the input first: a file of one row group would be read, and worked on, by one task.
     """
     good = usable_rules(rules).select("original_text", "corrected_text").distinct()
     digits_from, digits_to = K.DIGITS_FROM[10:], K.DIGITS_TO[:10]
@@ -128,7 +146,7 @@ def apply_text_rules(docs: DataFrame, rules: DataFrame, text: str = "text", chun
     parts = sorted(tuple(r.part) for r in numbered.select("part").distinct().collect())
     if not parts:
         return out
-    out = out.withColumn("__len", F.length(text))
+    out = out.withColumn("__at", F.monotonically_increasing_id()).repartition("__at").drop("__at").withColumn("__len", F.length(text))
     for n, c in parts:
         book = sorted((r[0], r[1]) for r in numbered.filter((F.col("part.n") == n) & (F.col("part.c") == c)).select(*order).collect())
         out = out.withColumn(text, _by_rules(docs.sparkSession.sparkContext.broadcast(book))(F.col(text), F.col("__len")))
