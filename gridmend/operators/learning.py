@@ -35,7 +35,9 @@ def gated_tokens(names: DataFrame, vocab: DataFrame) -> DataFrame:
 
     ``names``: job_id, name. Gates look at distinct tokens; the near-match gate is a blocked edit-distance join.
     """
-    toks = names.select("job_id", F.posexplode(T.tokens(F.col("name"))).alias("pos", "token"), F.size(T.tokens(F.col("name"))).alias("n"))
+    # counted below the explode: beside it, the whole text would be cut up again for each of its tokens
+    cut = names.select("job_id", T.tokens(F.col("name")).alias("tokens")).withColumn("n", F.size("tokens"))
+    toks = cut.select("job_id", "n", F.posexplode("tokens").alias("pos", "token"))
     kind = F.when((F.col("n") >= 2) & (F.col("pos") == F.col("n") - 1), "family").otherwise("given")
     occ = toks.select("job_id", "token", kind.alias("name_type"))
     d = occ.select("token").distinct()
