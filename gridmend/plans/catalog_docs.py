@@ -529,7 +529,8 @@ def _words(spark, sf):
 SELECT job_id, page, r, c, string_agg(content, ' ' ORDER BY word_idx) AS text FROM m WHERE rn = 1 GROUP BY ALL""", "form_rows"))
 def assign_words_to_cells(spark, sf):
     words = _words(spark, sf)
-    scale = words.select("job_id", "engine", "page").distinct().withColumn("sx", F.lit(1 / 144)).withColumn("sy", F.lit(1 / 144))
+    pages = table(spark, sf, "lineitem").select(F.concat(F.lit("j"), F.col("l_orderkey").cast("string")).alias("job_id"), (F.col("l_linenumber") % 2 + 1).cast("int").alias("page")).distinct()
+    scale = pages.select("job_id", F.lit("vision").alias("engine"), "page", F.lit(1 / 144).alias("sx"), F.lit(1 / 144).alias("sy"))
     return layout.assign_words_to_cells(words, _layout_cells(spark, sf), scale).drop("engine")
 
 
