@@ -37,6 +37,11 @@ def test_audit_summary_reads_anomalies_once(spark):
     assert _leaves(out) == 2
 
 
+def test_name_columns_read_the_profile_once(spark):
+    out = audit.detect_name_columns(audit.profile_columns(_cells(spark), serial=False))
+    assert _leaves(out) == 1 and {(r.job_id, r.field) for r in out.collect()} == {("a", "الاسم")}
+
+
 def test_cells_without_a_reader_are_pruned(spark):
     rows = spark.range(2).select(F.lit("j").alias("job_id"), F.col("id").alias("row_idx"), F.lit(" ").alias("person"), F.upper(F.col("id").cast("string")).alias("phone"))
     c = standins.cells(spark, "", "person", "phone", rows=rows)
