@@ -465,18 +465,22 @@ def flag_suspicious_rows(docs: DataFrame, names: DataFrame, text: str = "text",
 
 def gate_line_corrections(pairs: DataFrame, names: DataFrame, key: str = "pair_id") -> DataFrame:
     """Whether a corrected line may replace the original, with the reason. ``pairs``: key, orig, corr."""
-    o, c = T.strip(F.col("orig")), T.strip(F.col("corr"))
+    # each row is read once and has a number of its own: two pairs of one key are judged apart
+    named = pairs.select("*", F.monotonically_increasing_id().alias("__row"), T.strip(F.col("orig")).alias("__o"), T.strip(F.col("corr")).alias("__c"))
+    o, c = F.col("__o"), F.col("__c")
     bars = lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit("")))
     first = (F.when(F.coalesce(c, F.lit("")) == "", "empty").when(o == c, "identical").when(T.fold(o, "skeleton") == T.fold(c, "skeleton"), "normalization_only")
              .when(bars(o) != bars(c), "column_count").when(T.only_digits(o) != T.only_digits(c), "digits"))
     oc, cc = F.slice(F.split(o, "\\|"), 1, 3), F.slice(F.split(c, "\\|"), 1, 3)
     fresh = F.flatten(F.transform(F.arrays_zip(oc.alias("o"), cc.alias("c")), lambda z: F.when(F.trim(z["o"]) == F.trim(z["c"]), F.array().cast("array<string>"))
                                   .otherwise(F.array_except(T.tokens(z["c"]), T.tokens(z["o"])))))
-    fresh = F.filter(fresh, lambda t: (F.length(t) >= 2) & (T.arabic_chars(t) / F.length(t) >= 0.5) & ~t.isin(*K.NAME_PARTICLES))
-    s = pairs.withColumn("__first", first).withColumn("__new", F.when(F.col("__first").isNull(), F.array_distinct(fresh)))
+    s = named.withColumn("__first", first).withColumn("__new", F.when(F.col("__first").isNull(), F.array_distinct(fresh)))
+    words = s.select(*pairs.columns, "__row", "__first", F.explode_outer("__new").alias("__w"))
+    w = F.col("__w")
+    asked = words.withColumn("__w", F.when((F.length(w) >= 2) & (T.arabic_chars(w) / F.length(w) >= 0.5) & ~w.isin(*K.NAME_PARTICLES), w))
     known = names.select("name").unionByName(names.filter(F.col("name").contains(" ")).select(F.explode(T.tokens(F.col("name"))).alias("name"))).distinct()
-    toks = s.select(key, F.explode("__new").alias("name"))
-    unknown = toks.join(known, "name", "left_anti").select(key).distinct().withColumn("__u", F.lit("unverified_token"))
-    j = s.join(unknown, key, "left")
-    reason = F.coalesce("__first", "__u", F.lit("ok"))
-    return j.select(*pairs.columns, (reason == "ok").alias("apply"), reason.alias("reason"))
+    met = asked.join(known.withColumnRenamed("name", "__known"), F.col("__w") == F.col("__known"), "left")
+    row = F.struct(*[F.col(f"`{x}`") for x in pairs.columns], "__first")
+    per = met.groupBy("__row").agg(F.any_value(row).alias("r"), F.bool_or(w.isNotNull() & F.col("__known").isNull()).alias("__u"))
+    reason = F.coalesce("r.__first", F.when(F.col("__u"), "unverified_token"), F.lit("ok"))
+    return per.select(*[F.col(f"r.`{x}`") for x in pairs.columns], (reason == "ok").alias("apply"), reason.alias("reason"))

@@ -42,6 +42,12 @@ def test_name_columns_read_the_profile_once(spark):
     assert _leaves(out) == 1 and {(r.job_id, r.field) for r in out.collect()} == {("a", "الاسم")}
 
 
+def test_pairs_of_one_key_are_judged_apart(spark):
+    pairs = spark.createDataFrame([("k", "سارة | 1", "سارة خالد | 1"), ("k", "سارة | 1", "سارة منىل | 1")], "pair_id string, orig string, corr string")
+    out = reconcile.gate_line_corrections(pairs, spark.createDataFrame([("خالد",)], "name string"))
+    assert {(r.corr, r.reason) for r in out.collect()} == {("سارة خالد | 1", "ok"), ("سارة منىل | 1", "unverified_token")}
+
+
 def test_cells_without_a_reader_are_pruned(spark):
     rows = spark.range(2).select(F.lit("j").alias("job_id"), F.col("id").alias("row_idx"), F.lit(" ").alias("person"), F.upper(F.col("id").cast("string")).alias("phone"))
     c = standins.cells(spark, "", "person", "phone", rows=rows)
