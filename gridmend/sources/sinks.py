@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,22 +34,22 @@ def export_labels_csv(training: DataFrame, path: str, status: str = "approved",
     lines.unionByName(head).orderBy("part", "created_at", "id").select("line").write.mode("overwrite").text(path)
 
 
-def _unpinned(pattern: str, pinned: Column):
-    return lambda name: name.rlike(pattern) & ~F.array_contains(pinned, name)
-
-
 def column_order(cells: DataFrame) -> DataFrame:
     """Display position of every (job, field): pinned headers first, then sheet order.
 
-    Each pin takes the first matching column not pinned before it. Columns of a job are few and already aggregated.
+    Each pin takes the first matching column not pinned before it. Columns of a job are few and already aggregated; every pin
+    is a column of its own, because a nested one would be found again in each place that names it.
     """
     cols = cells.groupBy("job_id", "field").agg(F.min("col_idx").alias("col_idx"))
-    per_job = cols.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("col_idx", "field"))).alias("a"))
-    names = F.transform("a", lambda x: x["field"])
-    pinned = F.array().cast("array<string>")
-    for pattern in PINNED:
-        pinned = F.filter(F.concat(pinned, F.array(F.get(F.filter(names, _unpinned(pattern, pinned)), F.lit(0)))), lambda x: x.isNotNull())
-    return per_job.select("job_id", F.posexplode(F.concat(pinned, F.array_except(names, pinned))).alias("position", "field"))
+    fits = [F.col("field").rlike(p).alias(f"fits{i}") for i, p in enumerate(PINNED)]
+    out = cols.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("col_idx", "field", *fits))).alias("a"))
+    pins: list[Column] = []
+    for i in range(len(PINNED)):
+        free = F.filter("a", lambda x: reduce(lambda ok, p: ok & ~x["field"].eqNullSafe(p), pins, x[f"fits{i}"]))
+        out = out.withColumn(f"pin{i}", F.get(free, F.lit(0))["field"])
+        pins.append(F.col(f"pin{i}"))
+    out = out.select("job_id", F.transform("a", lambda x: x["field"]).alias("names"), F.array_compact(F.array(*pins)).alias("pinned"))
+    return out.select("job_id", F.posexplode(F.concat("pinned", F.array_except("names", "pinned"))).alias("position", "field"))
 
 
 def export_form_table(cells: DataFrame, fields: list[str]) -> DataFrame:

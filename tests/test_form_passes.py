@@ -56,6 +56,13 @@ def test_cells_of_one_name_have_their_own_handwriting(spark):
     assert got == {"p": False, "q": False, "r": False, "s": True}
 
 
+def test_each_pin_meets_a_header_once(spark):
+    c = spark.createDataFrame([("a", 0, "رقم", 0, ""), ("a", 0, "اسم الجوال", 1, ""), ("a", 0, "هاتف", 2, ""), ("a", 0, "ميلاد", 3, "")], CELLS)
+    out = sinks.column_order(c)
+    assert [r.field for r in out.orderBy("position").collect()] == ["اسم الجوال", "هاتف", "ميلاد", "رقم"]
+    assert _plan(out).count(f", {sinks.PINNED[0]})") + _plan(out).count(f"RLIKE {sinks.PINNED[0]}") == 1
+
+
 def test_cells_without_a_reader_are_pruned(spark):
     rows = spark.range(2).select(F.lit("j").alias("job_id"), F.col("id").alias("row_idx"), F.lit(" ").alias("person"), F.upper(F.col("id").cast("string")).alias("phone"))
     c = standins.cells(spark, "", "person", "phone", rows=rows)
