@@ -63,6 +63,13 @@ def test_each_pin_meets_a_header_once(spark):
     assert _plan(out).count(f", {sinks.PINNED[0]})") + _plan(out).count(f"RLIKE {sinks.PINNED[0]}") == 1
 
 
+def test_only_rows_that_may_swap_are_gathered(spark):
+    c = spark.createDataFrame([("a", 1, "اسم", 0, "0591234567"), ("a", 1, "هاتف", 1, "سارة"), ("a", 2, "اسم", 0, "علي"), ("a", 2, "هاتف", 1, "x")], CELLS)
+    out = standardize.swap_misplaced(c)
+    assert {(r.row_idx, r.field, r.value) for r in out.collect()} == {(1, "اسم", "سارة"), (1, "هاتف", "0591234567"), (2, "اسم", "علي"), (2, "هاتف", "x")}
+    assert "LeftSemi" in _plan(out)
+
+
 def test_cells_without_a_reader_are_pruned(spark):
     rows = spark.range(2).select(F.lit("j").alias("job_id"), F.col("id").alias("row_idx"), F.lit(" ").alias("person"), F.upper(F.col("id").cast("string")).alias("phone"))
     c = standins.cells(spark, "", "person", "phone", rows=rows)
