@@ -32,21 +32,36 @@ def pick_by_lexicon(pairs: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def per_row_scores(picked: DataFrame) -> DataFrame:
     """Folded exact match, position-wise word hits, edits. ``picked``: id, pick, truth, agree, unknown."""
-    t, p = T.fold("truth", "eval"), T.fold("pick", "eval")
-    tw, pw = T.tokens(t), T.tokens(p)
-    ok = F.size(F.filter(F.arrays_zip(tw.alias("t"), pw.alias("p")), lambda z: z["t"].eqNullSafe(z["p"])))
-    return picked.select("*", (t == p).alias("hit"), F.size(tw).alias("words"), ok.alias("words_ok"), F.levenshtein(t, p).alias("edits"), F.length(t).alias("chars"))
+    folded = picked.withColumns({"__t": T.fold("truth", "eval"), "__p": T.fold("pick", "eval")})
+    folded = folded.withColumns({"__tw": T.tokens(F.col("__t")), "__pw": T.tokens(F.col("__p"))})
+    ok = F.size(F.filter(F.zip_with("__tw", "__pw", lambda x, y: x.eqNullSafe(y)), lambda z: z))
+    return folded.select(*picked.columns, (F.col("__t") == F.col("__p")).alias("hit"), F.size("__tw").alias("words"), ok.alias("words_ok"),
+                         F.levenshtein("__t", "__p").alias("edits"), F.length("__t").alias("chars"))
 
 
 def evaluate_readings(picked: DataFrame) -> DataFrame:
-    """One row of figures: exactness, per-word accuracy, near misses, agreement buckets, CER, unknown words."""
-    s = per_row_scores(picked)
-    n = F.count("*")
+    """One row of figures: exactness, per-word accuracy, near misses, agreement buckets, CER, unknown words.
+
+    Scores depend on the two texts alone, so each distinct pair is scored once and weighs by its number.
+    """
+    s = per_row_scores(picked.groupBy("truth", "pick", "agree", "unknown").agg(F.count("*").alias("n")))
+    n = F.sum("n")
+
+    def total(c: str) -> Column:
+        return F.sum(F.col(c) * F.col("n"))
+
+    def count(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0).cast("long"))
+
+    def mean(c: str, cond: Column) -> Column:
+        known = cond & F.col(c).isNotNull()
+        return F.sum(F.when(known, F.col(c) * F.col("n"))) / F.sum(F.when(known, F.col("n")))
 
     def share(num: Column, den: Column) -> Column:
         return F.coalesce(num / F.nullif(den, F.lit(0)), F.lit(0.0))
 
-    return s.agg(n.alias("n"), F.count_if(F.col("hit")).alias("exact"), F.count_if(F.col("agree")).alias("agreed"), F.sum("words").alias("words"), F.sum("words_ok").alias("words_ok"),
-                 F.count_if(F.col("words") - F.col("words_ok") <= 1).alias("one_word_off"), F.round(share(F.count_if(F.col("agree") & F.col("hit")), F.count_if(F.col("agree"))), 6).alias("agree_right"),
-                 F.round(share(F.count_if(~F.col("agree") & F.col("hit")), F.count_if(~F.col("agree"))), 6).alias("differ_right"), F.round(share(F.sum("edits"), F.sum("chars")), 6).alias("cer"),
-                 F.round(F.avg(F.when(F.col("hit"), F.col("unknown"))), 6).alias("unknown_right"), F.round(F.avg(F.when(~F.col("hit"), F.col("unknown"))), 6).alias("unknown_wrong"))
+    hit, agree = F.col("hit"), F.col("agree")
+    return s.agg(F.coalesce(n, F.lit(0).cast("long")).alias("n"), count(hit).alias("exact"), count(agree).alias("agreed"), total("words").alias("words"), total("words_ok").alias("words_ok"),
+                 count(F.col("words") - F.col("words_ok") <= 1).alias("one_word_off"), F.round(share(count(agree & hit), count(agree)), 6).alias("agree_right"),
+                 F.round(share(count(~agree & hit), count(~agree)), 6).alias("differ_right"), F.round(share(total("edits"), total("chars")), 6).alias("cer"),
+                 F.round(mean("unknown", hit), 6).alias("unknown_right"), F.round(mean("unknown", ~hit), 6).alias("unknown_wrong"))

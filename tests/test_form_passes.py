@@ -56,6 +56,14 @@ def test_cells_of_one_name_have_their_own_handwriting(spark):
     assert got == {"p": False, "q": False, "r": False, "s": True}
 
 
+def test_equal_readings_are_scored_once(spark):
+    rows = [("ab cd", "ab cd", True, 0)] * 3 + [("ab cd", "ab xx", False, 1)]
+    out = evaluate.evaluate_readings(spark.createDataFrame(rows, "truth string, pick string, agree boolean, unknown long"))
+    r = out.first()
+    assert (r.n, r.exact, r.words, r.words_ok, r.one_word_off, r.unknown_wrong) == (4, 3, 8, 7, 4, 1.0) and r.cer == 0.1
+    assert _plan(out).count("Aggregate [") == 2
+
+
 def test_each_pin_meets_a_header_once(spark):
     c = spark.createDataFrame([("a", 0, "رقم", 0, ""), ("a", 0, "اسم الجوال", 1, ""), ("a", 0, "هاتف", 2, ""), ("a", 0, "ميلاد", 3, "")], CELLS)
     out = sinks.column_order(c)
