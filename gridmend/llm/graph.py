@@ -41,7 +41,7 @@ def _labelled(rows: DataFrame, comp: DataFrame, column: str, out: str) -> DataFr
 
 
 def grouped(members: DataFrame, verify: Callable[[DataFrame], DataFrame], score: Callable[[Column, Column], Column], cut: int,
-            rest: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 2) -> DataFrame:
+            rest: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 2, counted: bool = False) -> DataFrame:
     """(id, root) of all ids that have a verified link, from rows (bucket, id, sig) that name candidates.
 
     ``score`` estimates from two signatures how alike their owners are; pairs under ``cut`` are no candidates. ``verify``
@@ -55,9 +55,12 @@ def grouped(members: DataFrame, verify: Callable[[DataFrame], DataFrame], score:
       that join components, or else pair by pair.
 
     So every candidate pair that could join two components is tested, and pairs inside a component are not made at all.
+    ``counted`` says that ``members`` has no bucket of one row.
     """
-    several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("bucket").alias("k"))
-    live = saved(members.join(several, F.col("bucket") == F.col("k"), "left_semi").select("bucket", "id", "sig").withColumn("root", F.col("id")))
+    if not counted:
+        several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("bucket").alias("k"))
+        members = members.join(several, F.col("bucket") == F.col("k"), "left_semi")
+    live = saved(members.select("bucket", "id", "sig").withColumn("root", F.col("id")))
     held = tested = comp = None
     for turn in range(rounds):
         salt = F.xxhash64("id", F.lit(turn))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridmend.llm import hashing
-from gridmend.llm.common import FILTER_BITS, bit_filter, bit_of, passes, row_key, saved, text_of, thinned
+from gridmend.llm.common import FILTER_BITS, bit_filter, bit_of, passes, row_key, saved, text_of
 from gridmend.llm.graph import grouped
 
 SIMILARITY = 0.9
@@ -28,6 +28,8 @@ SIMILARITY = 0.9
 STEP, GRAM = round(1 / (1 - SIMILARITY)), 2
 #: Words are counted in 2**CELL_BITS cells over one text in ORDER_SHARE. The counts order the word pairs and decide nothing else.
 CELL_BITS, ORDER_SHARE = 18, 4
+#: Bytes kept of a word pair's hash. Word pairs are counted by 32 bits of it first, in 2**PAGE_BITS pages.
+WIDTH, PAGE_BITS = 5, 10
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\x0b\x0c\r"
 FOLD = bytes.maketrans(_PUNCT + b"0123456789", b" " * len(_PUNCT) + b"0" * 10)
 SECOND = 0xC2B2AE3D27D4EB4F
@@ -152,7 +154,17 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def _lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+    """The hashes of every line, WIDTH bytes each."""
+    low = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :WIDTH]
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * WIDTH).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(low))])
+
+
+def _hashes(lists: list[bytes]) -> np.ndarray:
+    """What :func:`_lists` packed, one line after the other."""
+    packed = np.frombuffer(b"".join(lists), np.uint8).reshape(-1, WIDTH)
+    wide = np.zeros((len(packed), 8), np.uint8)
+    wide[:, :WIDTH] = packed
+    return wide.view(np.int64)[:, 0]
 
 
 def occurrences(docs: DataFrame, level: np.ndarray) -> DataFrame:
@@ -175,19 +187,44 @@ def occurrences(docs: DataFrame, level: np.ndarray) -> DataFrame:
     return keyed.mapInArrow(rows, f"__id {kind}, __th bigint, n int, h binary, s0 bigint, s1 bigint, p0 bigint, p1 bigint, words int, grams binary")
 
 
-def _spread(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (page, seen): 32 bits of the hash of every word pair, in order, cut into pages by their first bits."""
+    starts = np.arange((1 << PAGE_BITS) + 1, dtype=np.int64) << (32 - PAGE_BITS)
+    for b in batches:
+        low = np.sort(_hashes(b.column("grams").to_pylist()) & (1 << 32) - 1)
+        cut = np.searchsorted(low, starts)
+        seen = pa.Array.from_buffers(pa.binary(), 1 << PAGE_BITS, [None, pa.py_buffer((cut * 4).astype(np.int32)), pa.py_buffer(low.astype(np.uint32))])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1 << PAGE_BITS, dtype=np.int32)), seen], ["page", "seen"]).filter(pa.array(np.diff(cut) > 0))
+
+
+def _repeated(page: pd.DataFrame) -> pd.DataFrame:
+    """Filter bits of the word pairs that a page holds more than once."""
+    seen = np.sort(np.frombuffer(b"".join(page["seen"]), np.uint32))
+    return pd.DataFrame({"bit": np.unique(seen[1:][seen[1:] == seen[:-1]]).astype(np.int64) & (1 << FILTER_BITS) - 1})
+
+
+def _spread(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row (bucket, h) per word pair, without those that do not pass the filter."""
     for b in batches:
         g = b.column("grams").to_pylist()
-        bucket = np.frombuffer(b"".join(g), np.int64)
-        line = np.repeat(np.arange(len(g)), [len(x) // 8 for x in g])
-        if bitmap is not None:
-            stay = passes(bitmap, bucket & (1 << FILTER_BITS) - 1)
-            bucket, line = bucket[stay], line[stay]
+        bucket = _hashes(g)
+        line = np.repeat(np.arange(len(g)), [len(x) // WIDTH for x in g])
+        stay = passes(bitmap, bucket & (1 << FILTER_BITS) - 1)
+        bucket, line = bucket[stay], line[stay]
         for lo in range(0, len(bucket), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(bucket[lo:lo + (1 << 16)]), b.column("h").take(pa.array(line[lo:lo + (1 << 16)]))], ["bucket", "h"])
 
 
+def _site(th: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Filter bit of a line's place: the hash of its text and its number."""
+    return (hashing.mix64(th.astype(np.int64).view(np.uint64) + n.astype(np.uint64) * np.uint64(SECOND)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def _site_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_site(b.column("x").to_numpy(), b.column("n").to_numpy()))], ["bit"])
+
+
 def edit_similarity(a: list, b: list) -> float:
     """1 - edit distance / length of the longer, over words; the bit-parallel algorithm on whole integers."""
     longest = max(len(a), len(b))
@@ -248,30 +285,42 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     groups = saved(occurrences(docs, _levels(docs)).groupBy("h").agg(F.min(F.struct("__id", "__th", "n")).alias("first"), *same))
     shown = groups.where(F.col("words") >= STEP - 1)
     # word pairs of one line only are left behind in the scan, by a filter of fixed size; what passes is counted again
-    buckets = shown.select("h", "grams").mapInArrow(lambda batches: _spread(batches, None), "bucket bigint, h binary").select("bucket")
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    bitmap = bit_filter(shared.select(bit_of(F.col("bucket")).alias("bit")))
+    bitmap = bit_filter(shown.select("grams").mapInArrow(_pages, "page int, seen binary").groupBy("page").applyInPandas(_repeated, "bit bigint"))
     met = shown.select("h", "grams").mapInArrow(lambda batches: _spread(batches, bitmap), "bucket bigint, h binary").toDF("bucket", "id")
     several = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("bucket").alias("k"))
     live = saved(met.join(several, F.col("bucket") == F.col("k"), "left_semi"))
     members = live.join(shown.select("h", F.struct("s0", "s1", "p0", "p1", "words").alias("sig")), F.col("id") == F.col("h"), "inner").select("bucket", "id", "sig")
     keyed = docs.select("doc_id", text_of().alias("t")).select(*row_key(F.col("doc_id"), F.col("t")), "t")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         sites = groups.join(wanted, groups["h"] == wanted["id"], "left_semi").select("h", F.col("first.__id").alias("i"), F.col("first.__th").alias("x"), F.col("first.n").alias("n"))
-        # documents without an asked line are left behind in the scan, by a filter of fixed size
+        # lines that are not asked for are left behind in the scan, by two filters of fixed size
         near_sites = saved(sites)
-        bitmap = bit_filter(near_sites.select(bit_of(F.col("x")).alias("bit")))
-        held = thinned(keyed.withColumn("bit", bit_of(F.col("__th"))), bitmap)
-        found = near_sites.join(held, F.col("i").eqNullSafe(F.col("__id")) & (F.col("x") == F.col("__th")), "inner")
+        held = bit_filter(near_sites.select(bit_of(F.col("x")).alias("bit")))
+        placed = bit_filter(near_sites.select("x", "n").mapInArrow(_site_bits, "bit bigint"))
+
+        def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                b = b.filter(pa.array(passes(held, b.column("__th").to_numpy() & (1 << FILTER_BITS) - 1)))
+                split = [t.split("\n") for t in b.column("t").to_pylist()]
+                count = np.array([len(x) for x in split], np.int64)
+                row = np.repeat(np.arange(len(split)), count)
+                n = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                at = np.flatnonzero(passes(placed, _site(b.column("__th").to_numpy()[row], n)))
+                pick = pa.array(row[at])
+                yield pa.RecordBatch.from_arrays([b.column("__id").take(pick), b.column("__th").take(pick), pa.array(n[at].astype(np.int32)), pa.array([split[i][j] for i, j in zip(row[at], n[at])], pa.string())], ["__id", "__th", "m", "line"])
+
+        read = keyed.mapInArrow(lines, f"__id {kind}, __th bigint, m int, line string")
+        found = near_sites.join(read, F.col("i").eqNullSafe(F.col("__id")) & (F.col("x") == F.col("__th")) & (F.col("n") == F.col("m")), "inner")
         # rows alike in id and text hold the same line
-        texts = saved(found.select("h", F.get(F.split("t", "\n"), F.col("n")).alias("line")).dropDuplicates(["h"]))
+        texts = saved(found.select("h", "line").dropDuplicates(["h"]))
         a, b = texts.toDF("ha", "la"), texts.toDF("hb", "lb")
         both = pairs.join(a, F.col("a") == F.col("ha"), "inner").join(b, F.col("b") == F.col("hb"), "inner")
         return both.select("a", "b", "la", "lb").mapInArrow(_similar, "a binary, b binary")
 
-    near = grouped(members, verify, _agreeing, 0, rounds=1)  # every round reads the texts again
+    near = grouped(members, verify, _agreeing, 0, rounds=1, counted=True)  # every round reads the texts again
     firsts = near.join(groups.select("h", "first"), F.col("id") == F.col("h"), "inner").select("id", "root", "first")
     best = firsts.groupBy("root").agg(F.min_by("id", "first").alias("best")).select(F.col("best"), F.col("root").alias("r"))
     gone = saved(firsts.join(best, F.col("root") == F.col("r"), "inner").where("id != best").select(F.col("id").alias("g")))
