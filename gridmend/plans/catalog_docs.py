@@ -12,8 +12,8 @@ from gridmend.operators import admin, layout, textdocs
 from gridmend.plans.catalog_cells import csv, dig, only
 from gridmend.plans.catalog_review import DTS, text_ts
 from gridmend.plans.registry import query
-from gridmend.plans.standins import Duck, Spark, ar, cells, duck_cells, oracle, own_rows, row_of, s, table
-from gridmend.session import shared_folder
+from gridmend.plans.standins import Duck, Spark, ar, cells, duck_cells, oracle, own_rows, row_of, s, table, together
+from gridmend.session import saved, shared_folder
 from gridmend.sources import documents as D
 from gridmend.sources import sinks
 from gridmend.sources import tables as TB
@@ -531,7 +531,7 @@ def assign_words_to_cells(spark, sf):
     words = _words(spark, sf)
     pages = table(spark, sf, "lineitem").select(F.concat(F.lit("j"), F.col("l_orderkey").cast("string")).alias("job_id"), (F.col("l_linenumber") % 2 + 1).cast("int").alias("page")).distinct()
     scale = pages.select("job_id", F.lit("vision").alias("engine"), "page", F.lit(1 / 144).alias("sx"), F.lit(1 / 144).alias("sy"))
-    return layout.assign_words_to_cells(words, _layout_cells(spark, sf), scale).drop("engine")
+    return together(spark, layout.assign_words_to_cells(words, _layout_cells(spark, sf), scale).drop("engine"))
 
 
 GAP_BOX = """SELECT job_id, line_no AS page, row_idx * 4 + c AS cell_id, c * 1e2 + supp_key % 17 AS x0, (part_key % 40) * 4e1 + supp_key % 5 AS y0, c * 1e2 + 80 + supp_key % 40 AS x1, (part_key % 40) * 4e1 + 36 + part_key % 9 AS y1
@@ -554,7 +554,7 @@ def neighbour_gaps(spark, sf):
     b = r.select("job_id", F.col("line_no").cast("long").alias("page"), (F.col("row_idx") * 4 + F.col("c")).alias("cell_id"), F.array(x0, y0, x1, y0, x1, y1, x0, y1).alias("polygon"),
                  F.lit(20.0).alias("page_w_in"), F.lit(20.0).alias("page_h_in"), F.lit(100).alias("dpi"), F.lit(0.01).alias("unit_scale"))
     out = layout.neighbour_gaps(b)
-    return out.select("job_id", "page", "cell_id", *[F.col(c).cast("long").alias(c) for c in ("left", "top", "right", "bottom")])
+    return together(spark, out.select("job_id", "page", "cell_id", *[F.col(c).cast("long").alias(c) for c in ("left", "top", "right", "bottom")]))
 
 
 @query("page_extents", oracle(HEAD_SQL + """
