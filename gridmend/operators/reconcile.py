@@ -15,7 +15,7 @@ from gridmend.functions import constants as K
 from gridmend.functions import text as T
 from gridmend.functions.distributed import first_n
 from gridmend.functions.similarity import ratcliff_join, ratcliff_ratio
-from gridmend.session import checkpoint
+from gridmend.session import checkpoint, saved
 
 
 def dict_score(texts: DataFrame, vocab: DataFrame, col: str = "text") -> DataFrame:
@@ -406,7 +406,11 @@ def align_tables(a_cells: DataFrame, b_cells: DataFrame, key: str = "doc_id") ->
     """Full outer positional join of two readings of a table; a missing cell is an empty text."""
     pos = [key, "row_idx", "col_idx"]
     a, b = a_cells.select(*pos, F.col("value").alias("a")), b_cells.select(*pos, F.col("value").alias("b"))
-    return a.join(b, pos, "full_outer").withColumns({"a": F.trim(F.coalesce("a", F.lit(""))), "b": F.trim(F.coalesce("b", F.lit("")))})
+    return trimmed(a.join(b, pos, "full_outer"))
+
+
+def trimmed(aligned: DataFrame) -> DataFrame:
+    return aligned.withColumns({"a": F.trim(F.coalesce("a", F.lit(""))), "b": F.trim(F.coalesce("b", F.lit("")))})
 
 
 def header_types(aligned: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -421,13 +425,26 @@ def header_types(aligned: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def merge_tables(a_cells: DataFrame, b_cells: DataFrame, names: DataFrame, key: str = "doc_id") -> DataFrame:
     """One table from two readings, column type by column type, with the side each cell came from."""
-    al = align_tables(a_cells, b_cells, key)
-    j = al.join(header_types(al, key), [key, "col_idx"], "left").withColumn("col_type", F.coalesce("col_type", F.lit("text")))
-    both = (F.col("a") != "") & (F.col("b") != "") & (F.col("row_idx") > 0)
-    merged = align_merge_names(j.filter(both & (F.col("col_type") == "name")), names)
-    dist = j.filter(both & (F.col("col_type") == "text")).select("a", "b").distinct()
-    dist = weighted_edit_distance(dist, "a", "b").select("a", "b", "token_distance")
-    j = j.join(merged, ["a", "b"], "left").join(dist, ["a", "b"], "left")
+    return merge_aligned(align_tables(a_cells, b_cells, key), names, key)
+
+
+def merge_aligned(aligned: DataFrame, names: DataFrame, key: str = "doc_id") -> DataFrame:
+    """:func:`merge_tables` of cells whose two readings (``a``, ``b``) stand beside each other already.
+
+    Typed cells are written once: name and text pairs are read off them, only cells with two different readings in such a
+    column meet their merged texts, and the rest stay where they are.
+    """
+    al = trimmed(aligned.select(key, "row_idx", "col_idx", "a", "b"))
+    typed = al.join(header_types(al, key), [key, "col_idx"], "left").withColumn("col_type", F.coalesce("col_type", F.lit("text")))
+    j = saved(typed)
+    looked = (F.col("a") != "") & (F.col("b") != "") & (F.col("row_idx") > 0) & F.col("col_type").isin("name", "text")
+    merged = align_merge_names(j.filter(looked & (F.col("col_type") == "name")), names).withColumn("col_type", F.lit("name"))
+    dist = j.filter(looked & (F.col("col_type") == "text")).select("a", "b").distinct()
+    dist = weighted_edit_distance(dist, "a", "b").select("a", "b", "token_distance", F.lit("text").alias("col_type"))
+    facts = merged.unionByName(dist, allowMissingColumns=True)
+    met = j.filter(looked).join(facts, ["a", "b", "col_type"], "left")
+    rest = j.filter(~looked).withColumns({"merged": F.lit(None).cast("string"), "token_distance": F.lit(None).cast("double")})
+    j = met.unionByName(rest)
     da, db = T.only_digits(F.col("a")), T.only_digits(F.col("b"))
 
     def ok(d):
