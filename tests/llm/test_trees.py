@@ -72,6 +72,23 @@ def test_rare_kinds_without_a_model_stay_base_only(spark):
     assert [r.spans for r in pii.personal_data(rows).collect()] == [""]
 
 
+def test_trees_are_fitted_on_the_candidates_of_all_documents(spark, monkeypatch):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("sold 123 456 789 pieces").alias("text"))
+    seen = []
+    monkeypatch.setattr(pii, "fit", lambda rows, features, by=None, weight=None: seen.append(rows.agg(F.sum(weight) if weight else F.count("*")).first()[0]))
+    pii.train(docs)
+    assert seen == [30_000]
+
+
+def test_a_row_weighs_as_much_as_the_rows_it_stands_for(spark):
+    from gridmend.llm.boosting import fit
+    rows = [(float(i % 7), i % 7 // 4 ^ (i % 11 == 0), i % 5 == 0) for i in range(2000)]
+    each = spark.createDataFrame(rows, "size double, label int, held_out boolean")
+    once = each.groupBy("size", "label", "held_out").agg(F.count("*").alias("n"))
+    a, b = fit(each, ["size"]), fit(once, ["size"], weight="n")
+    assert (a.threshold, a.figures) == (b.threshold, b.figures)
+
+
 def test_trees_decide_urls_by_form(spark):
     rnd = random.Random(7)
     rules, rows = [("good.org/", "allow"), ("good.org/x/", "block"), ("bad.org/", "block"), ("one.net/", "block")], []
